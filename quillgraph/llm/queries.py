@@ -4,17 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import near_dedup, suffix_dedup
 from .base import table
-from .near_dedup import Params, near_duplicates
+from .near_dedup import near_duplicates
+from .suffix_dedup import remove_repeats
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, linked at 85 per cent."""
-    return near_duplicates(table(spark, sf_dir, "documents"), Params(shingle=3, percent=85))
+    return near_duplicates(table(spark, sf_dir, "documents"), near_dedup.Params(shingle=3, percent=85))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of 100-byte strings that also start earlier."""
+    return remove_repeats(table(spark, sf_dir, "documents"), suffix_dedup.Params(length=100)).drop("kept")
 
 
 QUERIES = {
     "op2_near_dedup": op2_near_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
 }
 
 ORACLE: dict[str, str] = {}
