@@ -105,11 +105,10 @@ def _signer(p: Params):
 
 
 class _Union:
-    """Union-find over 0 .. n-1 that keeps the edges that joined two trees."""
+    """Union-find over 0 .. n-1."""
 
     def __init__(self, n: int):
         self.up = list(range(n))
-        self.edges: list[tuple[int, int]] = []
 
     def find(self, x: int) -> int:
         up = self.up
@@ -122,7 +121,6 @@ class _Union:
         a, b = self.find(x), self.find(y)
         if a != b:
             self.up[max(a, b)] = min(a, b)
-            self.edges.append((x, y))
 
     def roots(self, members: np.ndarray) -> np.ndarray:
         return np.fromiter((self.find(int(i)) for i in members), np.int64, len(members))
@@ -134,9 +132,14 @@ def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(block == t1[0]), np.flatnonzero(block == t2[0])
 
 
-def _edges(ids: np.ndarray, found: list[tuple[int, int]]) -> pa.Table:
-    e = np.array(found, np.int64).reshape(-1, 2)
-    return pa.table({"a": pa.array(ids[e[:, 0]], pa.int64()), "b": pa.array(ids[e[:, 1]], pa.int64())})
+def _stars(ids: np.ndarray, u: _Union) -> pa.Table:
+    """Each linked member with the least id of its tree, so that tiles with the same members say the same."""
+    root = u.roots(np.arange(len(ids)))
+    order = np.lexsort((ids, root))
+    lead = np.r_[True, root[order][1:] != root[order][:-1]]
+    least = ids[order][lead][np.cumsum(lead) - 1]
+    linked = least != ids[order]
+    return pa.table({"a": pa.array(least[linked], pa.int64()), "b": pa.array(ids[order][linked], pa.int64())})
 
 
 def _tile_estimates(p: Params):
@@ -156,7 +159,7 @@ def _tile_estimates(p: Params):
                 either = ((x > 0) | (y > 0)).sum(1)
                 for j in own[both >= p.floor * either]:
                     u.join(int(i), int(j))
-        return _edges(ids, u.edges)
+        return _stars(ids, u)
 
     return run
 
@@ -186,7 +189,7 @@ def _tile_links(p: Params):
                 if 100 * inter >= p.percent * (int(size[i]) + int(size[j]) - inter):
                     u.join(int(i), int(j))
             here[mine] = False
-        return _edges(ids, u.edges)
+        return _stars(ids, u)
 
     return run
 
