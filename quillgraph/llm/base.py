@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import struct
 import tempfile
-import zlib
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,16 +69,16 @@ def crc_of_id(column: str = "doc_id") -> Column:
 
 
 def pack(*arrays: np.ndarray | bytes, level: int = 1) -> bytes:
-    """Arrays and byte strings as one zlib-compressed block."""
+    """Arrays and byte strings as one zstandard frame."""
     parts = []
     for a in arrays:
         raw, kind = (a, b"raw") if isinstance(a, bytes) else (np.ascontiguousarray(a).tobytes(), a.dtype.str.encode())
         parts.append(struct.pack("<3sQ", kind.ljust(3), len(raw)) + raw)
-    return zlib.compress(b"".join(parts), level)
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(parts))
 
 
 def unpack(block: bytes) -> list:
-    raw, at, out = zlib.decompress(block), 0, []
+    raw, at, out = zstandard.ZstdDecompressor().decompress(block), 0, []
     while at < len(raw):
         kind, size = struct.unpack_from("<3sQ", raw, at)
         at += 11

@@ -6,9 +6,10 @@ tables are the ``bands**2`` pairs of one hash from either collection, so ``bands
 ``(1 - (1 - s**rows)**bands)**2`` (0.99993 at s = 0.85 with the defaults).
 
 1. Rows with equal sets form a class; everything below runs on class representatives.
-2. Buckets of the tables with the same members are looked at once. Inside a bucket members are
-   compared by a one-permutation sketch in tiles of at most ``tile`` x ``tile``; a tile returns a
-   spanning forest of the pairs whose estimate is near the threshold, never the pairs themselves.
+2. Buckets of the tables with the same members are looked at once. Members are compared by a
+   one-permutation sketch: first each with its buckets' least members, which labels most of them;
+   then all with differing labels inside a bucket, in tiles of at most ``tile`` x ``tile``. A tile
+   returns links between labels, a forest and never the pairs themselves.
 3. Components of those forests are candidate clusters. In each cluster every pair is decided on
    the full sets, again tile by tile, and a tile returns a spanning forest of true links.
 4. Components of the true links are the result.
@@ -25,20 +26,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import U64, WordHasher, cut, mix64, texts_of
 from .components import components
 
 BINS = 128
-_RNG = np.random.default_rng(20240611)
 
 
 class Params:
     """Defaults: sets of ``shingle`` words, linked at ``percent`` per cent or more."""
 
-    def __init__(self, shingle: int = 5, percent: int = 80, bands: int = 8, rows: int = 2, tile: int = 512, verify_tile: int = 256):
+    def __init__(self, shingle: int = 5, percent: int = 80, bands: int = 8, rows: int = 2, tile: int = 2048, verify_tile: int = 512):
         self.shingle, self.percent, self.bands, self.rows = shingle, percent, bands, rows
         self.tile, self.verify_tile = tile, verify_tile
         #: Sketch estimates this far below the threshold still count: five standard deviations.
@@ -132,9 +132,9 @@ def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(block == t1[0]), np.flatnonzero(block == t2[0])
 
 
-def _stars(ids: np.ndarray, u: _Union) -> pa.Table:
-    """Each linked member with the least id of its tree, so that tiles with the same members say the same."""
-    root = u.roots(np.arange(len(ids)))
+def _stars(ids: np.ndarray, u: _Union, at: np.ndarray | None = None) -> pa.Table:
+    """Each linked id with the least one of its tree, so that tiles with the same members say the same; at: the ids' places."""
+    root = u.roots(np.arange(len(ids)) if at is None else at)
     order = np.lexsort((ids, root))
     lead = np.r_[True, root[order][1:] != root[order][:-1]]
     least = ids[order][lead][np.cumsum(lead) - 1]
@@ -142,24 +142,51 @@ def _stars(ids: np.ndarray, u: _Union) -> pa.Table:
     return pa.table({"a": pa.array(least[linked], pa.int64()), "b": pa.array(ids[order][linked], pa.int64())})
 
 
+def _sketches(t: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column(name).to_pylist()), np.uint8).reshape(-1, BINS)
+
+
+def _near(x: np.ndarray, y: np.ndarray, p: Params) -> np.ndarray:
+    """Whether sketches estimate a similarity near or over the threshold."""
+    return ((x == y) & (x > 0)).sum(-1) >= p.floor * ((x > 0) | (y > 0)).sum(-1)
+
+
+def _leader_estimates(p: Params):
+    """Keeps pairs of a member and a bucket's least member that are near by sketch."""
+
+    def run(batches):
+        for t in batches:
+            ok = pa.array(_near(_sketches(t, "sketch_a"), _sketches(t, "sketch"), p))
+            yield pa.RecordBatch.from_arrays([t.column("a").filter(ok), t.column("id").filter(ok)], ["a", "b"])
+
+    return run
+
+
 def _tile_estimates(p: Params):
+    """Links between groups of a bucket's members; rows with one ``label`` are known to belong together."""
+
     def run(t: pa.Table) -> pa.Table:
-        ids, n = t.column("id").to_numpy(), t.column("n").to_numpy()
-        sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+        n, sk = t.column("n").to_numpy(), _sketches(t, "sketch")
+        labels, label_of = np.unique(t.column("label").to_numpy(), return_inverse=True)
         left, right = _sides(t)
-        u = _Union(len(ids))
+        u = _Union(len(n))
+        if len(labels) == 1:
+            return _stars(labels[:0], _Union(0))
+        heads = np.full(len(labels), -1, np.int64)
+        for i, k in enumerate(label_of.tolist()):
+            if heads[k] < 0:
+                heads[k] = i
+            else:
+                u.join(int(heads[k]), i)
         for i in left:
             own = right[right > i] if t.column("t1")[0] == t.column("t2")[0] else right
             own = own[(100 * np.minimum(n[own], n[i]) >= p.percent * np.maximum(n[own], n[i]))]
             if len(own):
                 own = own[u.roots(own) != u.find(int(i))]
             if len(own):
-                x, y = sk[own], sk[i]
-                both = ((x == y) & (x > 0)).sum(1)
-                either = ((x > 0) | (y > 0)).sum(1)
-                for j in own[both >= p.floor * either]:
+                for j in own[_near(sk[own], sk[i], p)]:
                     u.join(int(i), int(j))
-        return _stars(ids, u)
+        return _stars(labels, u, heads)
 
     return run
 
@@ -230,9 +257,15 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     keys = F.flatten(F.transform(F.slice("bands", 1, k), lambda a: F.transform(F.slice("bands", k + 1, k), lambda b: F.xxhash64(a, b))))
     rows = reps.select("id", F.explode(keys).alias("key"))
     buckets = rows.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("m")).filter("c > 1")
-    buckets = cut(buckets.groupBy("c", "x", "m").agg(F.min("key").alias("key")).select("key", "c"))
-    members = _tiles(rows.join(buckets, "key"), "key", "c", p.tile).join(reps.select("id", "n", "sketch"), "id")
-    near = members.groupBy("key", "t1", "t2").applyInArrow(_tile_estimates(p), "a long, b long")
+    buckets = buckets.groupBy("c", "x", "m").agg(F.min("key").alias("key")).select("key", "c", F.col("m").alias("a"))
+    members = cut(rows.join(buckets, "key"))
+    sketches = reps.select("id", "n", "sketch")
+    led = members.filter("a < id").select("a", "id").distinct().join(sketches.select("id", "sketch"), "id").join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a")
+    led = cut(led.select("a", "id", "sketch_a", "sketch").mapInArrow(_leader_estimates(p), "a long, b long"))
+    labels = led.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label"))
+    labelled = members.filter("c > 2").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    tiles = _tiles(labelled, "key", "c", p.tile).join(sketches, "id").select("key", "t1", "t2", "block", "label", "n", "sketch")
+    near = led.union(tiles.groupBy("key", "t1", "t2").applyInArrow(_tile_estimates(p), "a long, b long"))
     clusters = components(near)
 
     sized = clusters.join(clusters.groupBy("component").agg(F.count("*").alias("c")), "component")
@@ -246,3 +279,17 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("fp")).alias("fp"))
     out = out.join(labelled, "fp", "left").select("doc_id", "n_shingles", F.coalesce(lone, F.col("component")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, params: Params | None = None) -> DataFrame:
+    """The rows of ``docs`` that stay: of every group of near-duplicates the one of least doc_id.
+
+    Rows without a ``doc_id`` stay; of rows that repeat a ``doc_id`` the least text stays.
+    """
+    kept = near_duplicates(docs, params).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    total, different = docs.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
+    out = docs.join(kept, "doc_id", "left_semi")
+    if total > different:
+        first = Window.partitionBy("doc_id").orderBy("text")
+        out = out.withColumn("_row", F.row_number().over(first)).filter("_row = 1").drop("_row")
+    return out.union(docs.filter("doc_id IS NULL"))

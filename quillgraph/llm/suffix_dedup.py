@@ -32,6 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .base import U64, chunk_count, cut, hash_bucket, mix64, pack, text_bytes, unpack
 from .suffix_array import common_prefixes, suffix_array
@@ -124,10 +125,15 @@ def runs_of(texts: list[bytes], p: Params) -> tuple[np.ndarray, ...]:
     return *(np.concatenate(x) for x in zip(*found, strict=True)), np.concatenate(places)
 
 
-def _sorted_docs(t: pa.Table) -> tuple[list, list[bytes]]:
-    """Ids and texts of a chunk in the order that counts as earlier and later."""
+def _sorted_table(t: pa.Table) -> pa.Table:
+    """The rows of a chunk in the order that counts as earlier and later."""
     t = t.set_column(t.column_names.index("text"), "text", pc.fill_null(t.column("text").cast(pa.large_binary()), b""))
-    t = t.take(pc.sort_indices(t, sort_keys=[("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start"))
+    return t.take(pc.sort_indices(t, sort_keys=[("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start"))
+
+
+def _sorted_docs(t: pa.Table) -> tuple[list, list[bytes]]:
+    """Ids and texts in that order."""
+    t = _sorted_table(t)
     return t.column("doc_id").to_pylist(), t.column("text").to_pylist()
 
 
@@ -278,9 +284,10 @@ def _judge(p: Params):
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def _apply(p: Params, keep_text: bool):
+def _apply(p: Params, keep_text: bool, carry: list[str]):
     def run(t: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, texts = _sorted_docs(t) if t.num_rows else ([], [])
+        t = _sorted_table(t)
+        ids, texts = t.column("doc_id").to_pylist(), t.column("text").to_pylist()
         gone: dict[int, np.ndarray] = {}
         use, lead, masks = np.zeros((0, 5), np.int64), {}, {}
         for shard, block in zip(answers.column("shard").to_pylist(), answers.column("blob").to_pylist(), strict=True):
@@ -323,22 +330,23 @@ def _apply(p: Params, keep_text: bool):
             sha.append(hashlib.sha256(left).hexdigest())
             kept.append(left if keep_text else None)
         return pa.table({
-            "doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array([len(x) for x in texts], pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
+            **{f"_{c}": t.column(f"_{c}") for c in carry}, "doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array([len(x) for x in texts], pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
             "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "kept": pa.array(kept, pa.binary()),
         })
 
     return run
 
 
-def remove_repeats(docs: DataFrame, params: Params | None = None, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, params: Params | None = None, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept)``, one row per row of ``docs``.
 
-    ``kept`` holds the remaining bytes where ``keep_text`` asks for them. They need not be valid
+    Columns named in ``carry`` come along as ``_<name>``. ``kept`` holds the remaining bytes where ``keep_text`` asks for them. They need not be valid
     UTF-8: a removed stretch may begin or end inside a character.
     """
     p = params or Params()
     n = chunk_count(text_bytes(docs), p.chunk)
-    chunks = docs.select("doc_id", "text").withColumn("chunk", hash_bucket(n, "doc_id")).repartition(n, "chunk")
+    own = [F.col(c).alias(f"_{c}") for c in carry]
+    chunks = docs.select(*own, "doc_id", "text").withColumn("chunk", hash_bucket(n, "doc_id")).repartition(n, "chunk")
     grouped = chunks.groupBy("chunk")
     pair = "shard int, chunk int, blob binary"
     back = "chunk int, shard int, blob binary"
@@ -347,4 +355,4 @@ def remove_repeats(docs: DataFrame, params: Params | None = None, keep_text: boo
     sent = cut(grouped.cogroup(answers.groupBy("chunk")).applyInArrow(_send(p, n), pair))
     judged = sent.filter("shard >= 0").groupBy("shard").applyInArrow(_judge(p), back)
     replies = judged.union(sent.filter("shard < 0").select("chunk", "shard", "blob"))
-    return grouped.cogroup(replies.groupBy("chunk")).applyInArrow(_apply(p, keep_text), _RESULT)
+    return grouped.cogroup(replies.groupBy("chunk")).applyInArrow(_apply(p, keep_text, list(carry)), StructType([*(StructField(f"_{c}", docs.schema[c].dataType) for c in carry), *StructType.fromDDL(_RESULT).fields]))
