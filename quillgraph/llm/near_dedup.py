@@ -136,7 +136,7 @@ def _stars(ids: np.ndarray, u: _Union, at: np.ndarray | None = None) -> pa.Table
     """Each linked id with the least one of its tree, so that tiles with the same members say the same; at: the ids' places."""
     root = u.roots(np.arange(len(ids)) if at is None else at)
     order = np.lexsort((ids, root))
-    lead = np.r_[True, root[order][1:] != root[order][:-1]]
+    lead = np.r_[True, root[order][1:] != root[order][:-1]][: len(ids)]
     least = ids[order][lead][np.cumsum(lead) - 1]
     linked = least != ids[order]
     return pa.table({"a": pa.array(least[linked], pa.int64()), "b": pa.array(ids[order][linked], pa.int64())})
