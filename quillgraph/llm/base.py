@@ -6,6 +6,7 @@ import struct
 import tempfile
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -60,6 +61,16 @@ def hash_bucket(n: int, *columns: str) -> Column:
     return F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(n)).cast("int")
 
 
+def range_bucket(docs: DataFrame, n: int, column: str = "doc_id") -> Column:
+    """A bucket of 0 .. n-1 or fewer that rises with the id; null ids are in bucket 0, equal ids together.
+
+    The driver holds n bounds, approximate quantiles of the id column.
+    """
+    bounds = np.unique(np.array(docs.filter(F.col(column).isNotNull()).approxQuantile(column, [i / n for i in range(1, n)], 0.2 / n), np.float64))
+    at = F.pandas_udf(lambda x: pd.Series(np.searchsorted(bounds, x.to_numpy(), side="right").astype(np.int32)), "int")
+    return F.coalesce(F.when(F.col(column).isNotNull(), at(F.coalesce(F.col(column), F.lit(0)))), F.lit(0))
+
+
 def crc_of_id(column: str = "doc_id") -> Column:
     """crc32 of the id's decimal text; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
@@ -88,8 +99,22 @@ def unpack(block: bytes) -> list:
     return out
 
 
-def column_list(t: pa.Table | pa.RecordBatch, name: str) -> list:
-    return t.column(name).to_pylist()
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending 64-bit keys as byte planes of their differences; the empty high planes compress away."""
+    return np.ascontiguousarray(np.diff(keys, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpack_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(U64).ravel(), dtype=U64)
+
+
+def shares(keys: np.ndarray, shards: int, bits: int = 64):
+    """Shard numbers and slices of ascending keys that are uniform over ``bits`` bits."""
+    if len(keys):
+        shard = ((keys >> U64(bits - 32)) * U64(shards)) >> U64(32)
+        at = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(keys)], strict=True):
+            yield int(shard[a]), slice(a, b)
 
 
 def texts_of(t: pa.Table | pa.RecordBatch, name: str = "text") -> list[bytes]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import U64, chunk_count, mix64, text_bytes
+from .base import U64, chunk_count, mix64, range_bucket, text_bytes
 from .near_dedup import BINS, sketch
 from .suffix_dedup import _POWERS
 
@@ -113,9 +113,7 @@ def with_next(docs: DataFrame, each, schema: str, chunk: int = 8 << 20) -> DataF
     """
     n = chunk_count(text_bytes(docs), chunk)
     key = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
-    bounds = np.unique(np.array(docs.filter("doc_id IS NOT NULL").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n), np.float64))
-    at = F.pandas_udf(lambda x: pd.Series(np.searchsorted(bounds, x.to_numpy(), side="right").astype(np.int32)), "int")
-    placed = docs.select("doc_id", "text", key.alias("key")).withColumn("range", at("key"))
+    placed = docs.select("doc_id", "text", key.alias("key"), range_bucket(docs, n).alias("range"))
     heads = sorted((r["range"], r["least"]) for r in placed.groupBy("range").agg(F.min("key").alias("least")).collect())
     first_of = {least: (heads[i - 1][0] if i else heads[-1][0]) for i, (_, least) in enumerate(heads)}
     if not heads:

@@ -4,18 +4,19 @@ Every ``length``-byte window of a document belongs to the least ``gram``-byte ha
 anchor; equal windows have equal anchors, so all places of a repeated string meet in the shard of
 its anchor whatever document they lie in. Runs of windows with one anchor travel together.
 
-1. Chunks of documents send their anchors to shards, which answer whether an anchor occurs more
-   than once in the corpus. Windows of the other anchors cannot repeat.
-2. Chunks send the text of runs with repeated anchors, each distinct text once per chunk with its
-   first place. A shard concatenates its distinct texts, builds their suffix array by induced
-   sorting and the permuted common prefixes, and groups the windows that agree on ``length`` bytes.
-   In each group the earliest place stays; the shard answers which windows go.
-3. Chunks turn the answers into byte ranges. Later places of a text that a shard has seen before
-   go whole.
+1. Chunks of documents, in ascending order of ids, send the anchors and text hashes of their runs
+   to shards. Where an anchor has one text in the whole corpus, the shard knows all there is to
+   know: its windows repeat as a whole or not at all, and the first chunk with it keeps one.
+2. Texts of the other anchors follow, each distinct text once per chunk. A shard concatenates its
+   distinct texts, builds their suffix array by induced sorting and the permuted common prefixes,
+   and groups the windows that agree on ``length`` bytes. In each group the earliest place stays;
+   the shard answers which windows go.
+3. Chunks turn the answers into byte ranges.
 
 Chunks and shards exchange packed blocks, one row per (chunk, shard) pair that has something to
-say. An anchor with more than ``hot_anchor`` runs is split: its windows travel one by one and are
-dealt by their own content, so no shard gathers a frequent passage's surroundings.
+say; documents are dealt once. An anchor with more than ``hot_anchor`` texts is split: its windows
+travel one by one and are dealt by their own content, so no shard gathers a frequent passage's
+surroundings.
 
 Special cases: null text counts as empty; documents shorter than ``length`` keep all bytes; null
 ``doc_id`` sorts first; rows that repeat a ``doc_id`` are ordered by text and are separate
@@ -34,16 +35,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .base import U64, chunk_count, cut, hash_bucket, mix64, pack, text_bytes, unpack
+from .base import U64, chunk_count, mix64, pack, pack_keys, range_bucket, shares, text_bytes, unpack, unpack_keys
 from .suffix_array import common_prefixes, suffix_array
 
 _BASE = 0x9E3779B97F4A7C15
 _STEP = 1 << 20
-NO_ID = np.iinfo(np.int64).min
+_MAX = np.iinfo(np.uint64).max
+#: A text's hash only tells texts of one anchor apart; 48 bits of it travel.
+_TEXT = U64((1 << 48) - 1)
 
 
 class Params:
-    def __init__(self, length: int = 100, gram: int = 48, hot_anchor: int = 20_000, chunk: int = 8 << 20):
+    def __init__(self, length: int = 100, gram: int = 40, hot_anchor: int = 20_000, chunk: int = 8 << 20):
         self.length, self.gram, self.hot_anchor, self.chunk = length, gram, hot_anchor, chunk
 
 
@@ -87,11 +90,11 @@ def _batches(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def runs_of(texts: list[bytes], p: Params) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor (document number, first window, number of windows, anchor), and the anchor of each place that is one.
+    """Runs of windows with one anchor: document number, first window, windows, anchor, text hash, flag.
 
-    A run may hold several places of its anchor, where the text has a short period.
+    The flag marks anchors that come twice within ``length`` bytes: such a run may repeat itself.
     """
-    found, places = [], [np.zeros(0, U64)]
+    found = []
     wide = p.length - p.gram + 1
     sizes = np.array([len(x) for x in texts], np.int64)
     for a, b in _batches(sizes):
@@ -109,20 +112,37 @@ def runs_of(texts: list[bytes], p: Params) -> tuple[np.ndarray, ...]:
         starts = ends - sizes[a:b]
         doc = np.repeat(np.arange(a, b), sizes[a:b])[: len(least)]
         ok = np.arange(len(least)) + p.length <= ends[doc - a]
-        # A place is an anchor if the largest least value of the windows over it is its own.
-        inverted = np.full(len(grams) + wide - 1, np.iinfo(np.uint64).max, U64)
-        inverted[wide - 1 : wide - 1 + len(least)] = np.where(ok, ~least, np.iinfo(np.uint64).max)
-        places.append(grams[~_sliding_min(inverted, wide) == grams])
-        fresh = np.r_[True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]) | (ok[1:] != ok[:-1])]
-        first = np.flatnonzero(fresh)
+        first = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]) | (ok[1:] != ok[:-1])])
         count = np.diff(np.r_[first, len(least)])
         keep = ok[first]
         first, count = first[keep], count[keep]
-        found.append((doc[first], first - starts[doc[first] - a], count, least[first]))
+        anchor, end = least[first], first + count - 1 + p.length
+        # A place is an anchor if the largest least value of the windows over it is its own.
+        inverted = np.full(len(grams) + wide - 1, _MAX, U64)
+        inverted[wide - 1 : wide - 1 + len(least)] = np.where(ok, ~least, _MAX)
+        place = np.flatnonzero(~_sliding_min(inverted, wide) == grams)
+        value = grams[place]
+        order = np.argsort(value, kind="stable")
+        twice = (value[order][1:] == value[order][:-1]) & (np.diff(place[order]) < p.length)
+        flag = np.isin(anchor, value[order][1:][twice]) if twice.any() else np.zeros(len(anchor), bool)
+        text = mix64((total[end] - total[first]) * down[first] + count.astype(U64)) & _TEXT
+        found.append((doc[first], first - starts[doc[first] - a], count, mix64(anchor), text, flag))
     if not found:
         z = np.zeros(0, np.int64)
-        return z, z, z, np.zeros(0, U64), np.zeros(0, U64)
-    return *(np.concatenate(x) for x in zip(*found, strict=True)), np.concatenate(places)
+        return z, z, z, np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, bool)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _entries(anchor: np.ndarray, text: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (anchor, text) pairs, whether any is flagged, each run's pair, and each pair's first run."""
+    order = np.lexsort((text, anchor))
+    a, t = anchor[order], text[order]
+    fresh = np.r_[True, (a[1:] != a[:-1]) | (t[1:] != t[:-1])][: len(a)]
+    at = np.flatnonzero(fresh)
+    pair = np.empty(len(a), np.int64)
+    pair[order] = np.cumsum(fresh) - 1
+    any_flag = np.logical_or.reduceat(flag[order], at) if len(at) else flag
+    return a[at], t[at], any_flag, pair, order[at]
 
 
 def _sorted_table(t: pa.Table) -> pa.Table:
@@ -137,12 +157,22 @@ def _sorted_docs(t: pa.Table) -> tuple[list, list[bytes]]:
     return t.column("doc_id").to_pylist(), t.column("text").to_pylist()
 
 
+def _planes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
+
+
+def _join_planes(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(6, -1).T
+    return out.view(U64).ravel()
+
+
 def _by_shard(h: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
     """Shard numbers and the places of their hashes, in the order of the input."""
-    shard = ((h >> U64(20)) % U64(shards)).astype(np.int64)
+    shard = (((h >> U64(32)) * U64(shards)) >> U64(32)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
-    at = np.flatnonzero(np.r_[True, shard[order][1:] != shard[order][:-1]]) if len(order) else []
-    for a, b in zip(at, [*at[1:], len(order)], strict=True):
+    at = np.flatnonzero(np.r_[True, shard[order][1:] != shard[order][:-1]][: len(order)]).tolist()
+    for a, b in zip(at, [*at[1:], len(order)][: len(at)], strict=True):
         yield int(shard[order[a]]), order[a:b]
 
 
@@ -156,57 +186,71 @@ def _ask(p: Params, shards: int):
     def run(t: pa.Table) -> pa.Table:
         chunk = t.column("chunk")[0].as_py()
         _, texts = _sorted_docs(t)
-        h, n = np.unique(runs_of(texts, p)[4], return_counts=True)
-        n = np.minimum(n, np.iinfo(np.uint32).max).astype(np.uint32)
-        return _rows([(s, chunk, pack(h[at], n[at])) for s, at in _by_shard(h, shards)], ("shard", "chunk", "blob"))
+        anchor, text, flag, _, _ = _entries(*runs_of(texts, p)[3:])
+        return _rows([(s, chunk, pack(pack_keys(anchor[at]), _planes(text[at]), flag[at])) for s, at in shares(anchor, shards)], ("shard", "chunk", "blob"))
 
     return run
 
 
-def _count(p: Params):
+#: What a shard says of an (anchor, text) pair: settled here, settled in an earlier chunk, to be compared, to be split and compared.
+HERE, ELSEWHERE, COMPARE, SPLIT = range(4)
+
+
+def _settle(p: Params):
     def run(t: pa.Table) -> pa.Table:
+        chunks = t.column("chunk").to_pylist()
         blocks = [unpack(x) for x in t.column("blob").to_pylist()]
-        keys = np.concatenate([b[0] for b in blocks])
-        _, inverse = np.unique(keys, return_inverse=True)
-        total = np.bincount(inverse, np.concatenate([b[1] for b in blocks]).astype(np.float64))[inverse]
-        state = ((total > 1).astype(np.uint8) + (total > p.hot_anchor)).astype(np.uint8)
+        anchor = np.concatenate([unpack_keys(b[0]) for b in blocks])
+        text = np.concatenate([_join_planes(b[1]) for b in blocks])
+        flag = np.concatenate([b[2] for b in blocks])
+        chunk = np.repeat(np.array(chunks, np.int64), [len(b[2]) for b in blocks])
+        order = np.lexsort((chunk, text, anchor))
+        a, x = anchor[order], text[order]
+        new_a = np.r_[True, a[1:] != a[:-1]]
+        new_pair = new_a | np.r_[True, x[1:] != x[:-1]]
+        group = np.cumsum(new_a) - 1
+        texts = np.bincount(group, new_pair)[group]
+        odd = np.bincount(group, flag[order])[group] > 0
+        state = np.empty(len(a), np.uint8)
+        state[order] = np.where(texts > p.hot_anchor, SPLIT, np.where((texts > 1) | odd, COMPARE, np.where(new_pair, HERE, ELSEWHERE)))
         shard, out, at = t.column("shard")[0].as_py(), [], 0
-        for chunk, b in zip(t.column("chunk").to_pylist(), blocks, strict=True):
-            out.append((chunk, shard, pack(state[at : at + len(b[0])])))
-            at += len(b[0])
+        for c, b in zip(chunks, blocks, strict=True):
+            out.append((c, shard, pack(state[at : at + len(b[2])])))
+            at += len(b[2])
         return _rows(out, ("chunk", "shard", "blob"))
 
     return run
 
 
 def _send(p: Params, shards: int):
-    """Answers about anchors -> the chunk's distinct texts for each shard, and its own notes (shard -1)."""
+    """Answers -> texts to compare, for each shard, and the chunk's own notes (to shard ``shards`` + chunk)."""
 
     def run(t: pa.Table, answers: pa.Table) -> pa.Table:
         if not t.num_rows:
             return _rows([], ("shard", "chunk", "blob"))
         chunk = t.column("chunk")[0].as_py()
-        ids, texts = _sorted_docs(t)
-        doc, first, count, anchor, _ = runs_of(texts, p)
-        h = np.unique(anchor)
-        state = np.zeros(len(h), np.uint8)
+        _, texts = _sorted_docs(t)
+        doc, first, count, *rest = runs_of(texts, p)
+        anchor, _, _, pair, lead = _entries(*rest)
+        state = np.zeros(len(anchor), np.uint8)
         said = dict(zip(answers.column("shard").to_pylist(), answers.column("blob").to_pylist(), strict=True))
-        for s, at in _by_shard(h, shards):
+        for s, at in shares(anchor, shards):
             state[at] = unpack(said[s])[0]
-        own = state[np.searchsorted(h, anchor)]
-        keep = np.flatnonzero(own)
+        own = state[pair]
+        later = np.ones(len(pair), bool)
+        later[lead] = False
+        gone = np.flatnonzero((own == ELSEWHERE) | (own == HERE) & later)
         known: dict[bytes, int] = {}
         places: list[tuple] = []  # of each distinct text: shard key, document number, window, windows
         uses = []  # document number, first window, windows, text number, whether it is the text's first place
-        for i in keep.tolist():
-            d, s, w, hot = int(doc[i]), int(first[i]), int(count[i]), own[i] == 2
+        for i in np.flatnonzero(own >= COMPARE).tolist():
+            d, s, w, hot = int(doc[i]), int(first[i]), int(count[i]), own[i] == SPLIT
             for at, n in ([(s + k, 1) for k in range(w)] if hot else [(s, w)]):
                 text = texts[d][at : at + n - 1 + p.length]
                 k = known.get(text)
                 if k is None:
                     k = known[text] = len(places)
-                    key = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little") if hot else int(anchor[i])
-                    places.append((key, d, at, n))
+                    places.append((int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little") if hot else int(rest[0][i]), d, at, n))
                     uses.append((d, at, n, k, 1))
                 else:
                     uses.append((d, at, n, k, 0))
@@ -217,9 +261,9 @@ def _send(p: Params, shards: int):
             at = np.array([x[1:] for x in places], np.int64)
             for s, own_at in _by_shard(key, shards):
                 size = np.array([len(bodies[k]) for k in own_at.tolist()], np.int64)
-                who = np.array([NO_ID if ids[d] is None else ids[d] for d in at[own_at, 0].tolist()], np.int64)
-                out.append((s, chunk, pack(b"".join(bodies[k] for k in own_at.tolist()), size, who, at[own_at, 0], at[own_at, 1], own_at)))
-            out.append((-1, chunk, pack(np.array(uses, np.int64).ravel())))
+                out.append((s, chunk, pack(b"".join(bodies[k] for k in own_at.tolist()), size, at[own_at, 0], at[own_at, 1], own_at)))
+        if len(gone) or uses:
+            out.append((shards + chunk, chunk, pack(doc[gone], first[gone], count[gone], np.array(uses, np.int64).ravel())))
         return _rows(out, ("shard", "chunk", "blob"))
 
     return run
@@ -252,28 +296,31 @@ def repeated_windows(bodies: list[bytes], first: np.ndarray, length: int) -> lis
     return [gone[a : b - length + 1] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
-def _judge(p: Params):
+def _judge(p: Params, shards: int):
     def run(t: pa.Table) -> pa.Table:
+        shard = t.column("shard")[0].as_py()
+        if shard >= shards:  # notes of a chunk to itself
+            return t.select(["chunk", "shard", "blob"])
         known: dict[bytes, int] = {}
         best: list[tuple] = []
         asked = []
         for chunk, block in zip(t.column("chunk").to_pylist(), t.column("blob").to_pylist(), strict=True):
-            body, size, who, row, window, number = unpack(block)
+            body, size, row, window, number = unpack(block)
             cuts = np.r_[0, np.cumsum(size)].tolist()
-            mine = []
-            for j, place in enumerate(zip(who.tolist(), row.tolist(), window.tolist(), strict=True)):
+            mine, places = [], list(zip([chunk] * len(row), row.tolist(), window.tolist(), strict=True))
+            for j, place in enumerate(places):
                 text = body[cuts[j] : cuts[j + 1]]
                 k = known.setdefault(text, len(best))
                 if k == len(best):
-                    best.append((place, chunk))
-                elif (place, chunk) < best[k]:
-                    best[k] = (place, chunk)
+                    best.append(place)
+                elif place < best[k]:
+                    best[k] = place
                 mine.append(k)
-            asked.append((chunk, mine, number, list(zip(who.tolist(), row.tolist(), window.tolist(), strict=True))))
-        gone = repeated_windows(list(known), np.array([b[0] for b in best], np.int64).reshape(-1, 3), p.length)
-        shard, out = t.column("shard")[0].as_py(), []
+            asked.append((chunk, mine, number, places))
+        gone = repeated_windows(list(known), np.array(best, np.int64).reshape(-1, 3), p.length)
+        out = []
         for chunk, mine, number, places in asked:
-            leads = np.array([best[k] == (place, chunk) for k, place in zip(mine, places, strict=True)], bool)
+            leads = np.array([best[k] == place for k, place in zip(mine, places, strict=True)], bool)
             masks = [gone[k] for k, lead in zip(mine, leads.tolist(), strict=True) if lead]
             out.append((chunk, shard, pack(number, leads, np.concatenate(masks) if masks else np.zeros(0, bool))))
         return _rows(out, ("chunk", "shard", "blob"))
@@ -284,37 +331,46 @@ def _judge(p: Params):
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def _apply(p: Params, keep_text: bool, carry: list[str]):
+def _apply(p: Params, shards: int, keep_text: bool, carry: list[str]):
     def run(t: pa.Table, answers: pa.Table) -> pa.Table:
         t = _sorted_table(t)
         ids, texts = t.column("doc_id").to_pylist(), t.column("text").to_pylist()
-        gone: dict[int, np.ndarray] = {}
-        use, lead, masks = np.zeros((0, 5), np.int64), {}, {}
-        for shard, block in zip(answers.column("shard").to_pylist(), answers.column("blob").to_pylist(), strict=True):
-            if shard == -1:
-                use = unpack(block)[0].reshape(-1, 5)
-                break
-        windows = {int(k): int(n) for n, k in use[use[:, 4] == 1][:, 2:4].tolist()}
+        lead, masks, notes, replies = {}, {}, None, []
         for shard, block in zip(answers.column("shard").to_pylist(), answers.column("blob").to_pylist(), strict=True):
-            if shard != -1:
-                number, leads, mask = unpack(block)
+            if shard >= shards:
+                notes = unpack(block)
+            else:
+                replies.append(unpack(block))
+        gone: dict[int, np.ndarray] = {}
+
+        def stretch(d: int, a: int, n: int) -> None:
+            """Windows a .. a+n-1 of document d all go."""
+            g = gone.get(d)
+            if g is None:
+                g = gone[d] = np.zeros(len(texts[d]) + 1, np.int32)
+            g[a] += 1
+            g[a + n - 1 + p.length] -= 1
+
+        if notes is not None:
+            for d, s, n in zip(*(x.tolist() for x in notes[:3]), strict=True):
+                stretch(d, s, n)
+            use = notes[3].reshape(-1, 5)
+            windows = {k: n for n, k in use[use[:, 4] == 1][:, 2:4].tolist()}
+            for number, leads, mask in replies:
                 at = 0
                 for k, yes in zip(number.tolist(), leads.tolist(), strict=True):
                     lead[k] = yes
                     if yes:
                         masks[k] = mask[at : at + windows[k]]
                         at += windows[k]
-        for d, s, n, k, is_first in use.tolist():
-            g = gone.get(d)
-            if g is None:
-                g = gone[d] = np.zeros(len(texts[d]) + 1, np.int32)
-            if is_first and lead[k]:
-                own = np.flatnonzero(masks[k]) + s
-                np.add.at(g, own, 1)
-                np.add.at(g, own + p.length, -1)
-            else:  # windows s .. s+n-1 all go: one covered stretch
-                g[s] += 1
-                g[s + n - 1 + p.length] -= 1
+            for d, s, n, k, is_first in use.tolist():
+                if is_first and lead[k]:
+                    m = np.r_[False, masks[k], False].astype(np.int8)
+                    turns = np.flatnonzero(np.diff(m))
+                    for a, b in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True):
+                        stretch(d, s + a, b - a)
+                else:
+                    stretch(d, s, n)
         n_removed, n_spans, sha, kept = [], [], [], []
         for d, text in enumerate(texts):
             g = gone.get(d)
@@ -346,13 +402,11 @@ def remove_repeats(docs: DataFrame, params: Params | None = None, keep_text: boo
     p = params or Params()
     n = chunk_count(text_bytes(docs), p.chunk)
     own = [F.col(c).alias(f"_{c}") for c in carry]
-    chunks = docs.select(*own, "doc_id", "text").withColumn("chunk", hash_bucket(n, "doc_id")).repartition(n, "chunk")
+    chunks = docs.select(*own, "doc_id", "text", range_bucket(docs, n).alias("chunk")).repartition(n, "chunk")
     grouped = chunks.groupBy("chunk")
-    pair = "shard int, chunk int, blob binary"
-    back = "chunk int, shard int, blob binary"
-    asked = grouped.applyInArrow(_ask(p, n), pair)
-    answers = asked.groupBy("shard").applyInArrow(_count(p), back)
-    sent = cut(grouped.cogroup(answers.groupBy("chunk")).applyInArrow(_send(p, n), pair))
-    judged = sent.filter("shard >= 0").groupBy("shard").applyInArrow(_judge(p), back)
-    replies = judged.union(sent.filter("shard < 0").select("chunk", "shard", "blob"))
-    return grouped.cogroup(replies.groupBy("chunk")).applyInArrow(_apply(p, keep_text, list(carry)), StructType([*(StructField(f"_{c}", docs.schema[c].dataType) for c in carry), *StructType.fromDDL(_RESULT).fields]))
+    pair, back = "shard int, chunk int, blob binary", "chunk int, shard int, blob binary"
+    settled = grouped.applyInArrow(_ask(p, n), pair).groupBy("shard").applyInArrow(_settle(p), back)
+    sent = grouped.cogroup(settled.groupBy("chunk")).applyInArrow(_send(p, n), pair)
+    replies = sent.groupBy("shard").applyInArrow(_judge(p, n), back)
+    schema = StructType([*(StructField(f"_{c}", docs.schema[c].dataType) for c in carry), *StructType.fromDDL(_RESULT).fields])
+    return grouped.cogroup(replies.groupBy("chunk")).applyInArrow(_apply(p, n, keep_text, list(carry)), schema)
