@@ -25,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import U64, WordHasher, chunk_count, crc_of_id, cut, hash_bucket, mix64, pack, text_bytes, texts_of, unpack
+from .base import U64, WordHasher, chunk_count, crc_of_id, cut, hash_bucket, mix64, pack, pack_keys, shares, text_bytes, texts_of, unpack, unpack_keys
 
 END, START = U64(0xE4D), U64(0x57A27)
+#: Bits of a bigram's hash: less to move, and at 10**13 bigrams one in 7000 meets another.
+PAIR_BITS = 56
 PRIORS = (4.0, 32.0, 256.0, 2048.0, 16384.0)
 
 
@@ -49,30 +51,22 @@ class _Grams:
         self.train = ~t.column("held_out").to_numpy()
         self.word, self.word_of = np.unique(np.r_[token, END], return_inverse=True)
         self.word_of = self.word_of[:-1]
-        self.pair, self.pair_of = np.unique(mix64(before * U64(0x9E3779B97F4A7C15)) + token, return_inverse=True)
+        self.pair, self.pair_of = np.unique(mix64(mix64(before * U64(0x9E3779B97F4A7C15)) + token) >> U64(64 - PAIR_BITS), return_inverse=True)
         self.in_train = np.repeat(self.train, self.sizes)
         # The history of a start is counted by the ends of training documents.
         self.history = np.roll(self.word_of, 1)
         self.history[self.first] = int(np.searchsorted(self.word, END))
 
     def keys(self):
-        """(order, hashes, training counts): 0 words, 1 bigrams."""
-        for kind, h, of in ((0, self.word, self.word_of), (1, self.pair, self.pair_of)):
-            yield kind, h, np.bincount(of[self.in_train], minlength=len(h)).astype(np.uint32)
-
-
-def _shares(h: np.ndarray, shards: int):
-    shard = ((mix64(h) >> U64(16)) % U64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    at = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0])
-    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(order)], strict=True):
-        yield int(shard[order[a]]), order[a:b]
+        """(0 for words, 1 for bigrams; hashes, bits of a hash, training counts)."""
+        for kind, h, of, bits in ((0, self.word, self.word_of, 64), (1, self.pair, self.pair_of, PAIR_BITS)):
+            yield kind, h, bits, np.bincount(of[self.in_train], minlength=len(h)).astype(np.uint32)
 
 
 def _ask(shards: int):
     def run(t: pa.Table) -> pa.Table:
         chunk = t.column("chunk")[0].as_py()
-        out = [(kind * shards + s, chunk, pack(h[at], n[at])) for kind, h, n in _Grams(t).keys() for s, at in _shares(h, shards)]
+        out = [(kind * shards + s, chunk, pack(pack_keys(h[at]), n[at])) for kind, h, bits, n in _Grams(t).keys() for s, at in shares(h, shards, bits)]
         a, b, c = zip(*out, strict=True)
         return pa.table({"shard": pa.array(a, pa.int32()), "chunk": pa.array(b, pa.int32()), "blob": pa.array(c, pa.binary())})
 
@@ -82,15 +76,15 @@ def _ask(shards: int):
 def _count(shards: int):
     def run(t: pa.Table) -> pa.Table:
         blocks = [unpack(x) for x in t.column("blob").to_pylist()]
-        _, of = np.unique(np.concatenate([b[0] for b in blocks]), return_inverse=True)
+        _, of = np.unique(np.concatenate([unpack_keys(b[0]) for b in blocks]), return_inverse=True)
         total = np.bincount(of, np.concatenate([b[1] for b in blocks]).astype(np.float64)).astype(np.int64)
         words = t.column("shard")[0].as_py() < shards
         seen = total[total > 0] if words else total[:0]
         sums = (int(seen.sum()), len(seen), int((seen == 1).sum()), int((seen == 2).sum()))
         answer, at, out = total[of], 0, []
         for b in blocks:
-            out.append(pack(answer[at : at + len(b[0])]))
-            at += len(b[0])
+            out.append(pack(answer[at : at + len(b[1])]))
+            at += len(b[1])
         once = [[s] + [0] * (len(out) - 1) for s in sums]
         return pa.table({"chunk": t.column("chunk"), "shard": t.column("shard"), "blob": pa.array(out, pa.binary()), **{k: pa.array(v, pa.int64()) for k, v in zip(("n", "v", "n1", "n2"), once, strict=True)}})
 
@@ -118,9 +112,9 @@ def _score(shards: int, n: int, v: int, n1: int, n2: int):
         g = _Grams(t)
         said = dict(zip(answers.column("shard").to_pylist(), answers.column("blob").to_pylist(), strict=True))
         counts = []
-        for kind, h, _ in g.keys():
+        for kind, h, bits, _ in g.keys():
             c = np.zeros(len(h), np.int64)
-            for s, at in _shares(h, shards):
+            for s, at in shares(h, shards, bits):
                 c[at] = unpack(said[kind * shards + s])[0]
             counts.append(c)
         word, pair = counts
