@@ -18,6 +18,7 @@ import uuid
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
@@ -150,7 +151,7 @@ class Reader:
             rest = data[n:]
 
 
-def write_ids(docs: DataFrame, path: str, end_id: int = 2, folder: str | None = None, kind: str = "byte", file_bytes: int = 16 << 20) -> DataFrame:
+def write_ids(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, end_id: int = 2, folder: str | None = None, kind: str = "byte", file_bytes: int = 16 << 20) -> DataFrame:
     """Encodes whole texts by a tokenizer file, appends ``end_id``, and writes files in ascending doc_id order.
 
     Returns one row per file: ``path, first_id, n_docs, n_ids`` (already written). Null texts count
@@ -163,7 +164,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 2, folder: str | None =
     def run(batches):
         out = name = None
         first = None
-        for part, blobs in encoded(batches, lambda: library_encoder(path)):
+        for part, blobs in encoded(batches, lambda: library_encoder(path, pattern)):
             ids = part.column("doc_id").to_pylist()
             if out is None:
                 fs, where = pafs.FileSystem.from_uri(folder)

@@ -3,7 +3,7 @@
 Encoding works on units: a run of non-blanks with the one space before it. No match of the split
 pattern reaches over the start of a unit, so a unit's ids do not depend on its neighbours, and a
 worker encodes each distinct unit once while its bounded cache holds it. Texts with runs of blanks
-are matched as a whole instead.
+are split by the pattern as a whole instead.
 
 ``fold_native`` is the same fold as one Spark higher-order expression over a literal rank table.
 """
@@ -11,18 +11,22 @@ are matched as a whole instead.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
+import pyarrow as pa
 import regex
+import tiktoken
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-#: Distinct units a worker keeps before it starts anew.
-CACHE_UNITS = 300_000
+#: Distinct units, and distinct words, that a worker keeps at most.
+CACHE_UNITS = 200_000
+CACHE_PIECES = 1_200_000
 #: Byte length above which a word is merged with a heap instead of list scans.
 LONG_WORD = 64
 
@@ -82,30 +86,50 @@ def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder:
-    """Text -> int32 ids as bytes; ``whole`` encodes texts that are given to it as they are."""
+    """Text -> int32 ids as bytes.
+
+    ``pieces`` encodes matches of the split pattern on their own. Texts that hold one of ``special``
+    go to ``whole`` as they are. Both caches are bounded: the units' cache starts anew when full, the
+    pieces' cache keeps what it has seen since it was last half full.
+    """
 
-    def __init__(self, whole: Callable[[list[str]], Iterable[list[int]]], limit: int = CACHE_UNITS):
-        self.whole, self.limit = whole, limit
+    def __init__(self, pattern: str, pieces: Callable[[list[str]], Iterable[list[int]]], whole: Callable[[str], list[int]] | None = None, special: tuple[str, ...] = ()):
+        self.split = regex.compile(pattern).findall
+        self.pieces, self.whole, self.special = pieces, whole, special
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.tail: dict[str, bytes] = {}  # units after a space
         self.head: dict[str, bytes] = {}  # units at the start of a line
-        self.line = b""
+
+    def _know(self, wanted: Iterable[str]) -> None:
+        young, old = self.young, self.old
+        fresh = []
+        for p in wanted:
+            if p not in young:
+                if p in old:
+                    young[p] = old[p]
+                else:
+                    fresh.append(p)
+        for p, ids in zip(fresh, self.pieces(fresh), strict=True):
+            young[p] = np.array(ids, np.int32).tobytes()
 
     def _learn(self, cache: dict[str, bytes], units: set[str], prefix: str) -> None:
-        fresh = list(units)
-        for u, ids in zip(fresh, self.whole([prefix + u for u in fresh]), strict=True):
-            cache[u] = np.array(ids, np.int32).tobytes()
+        parts = {u: self.split(prefix + u) for u in units}
+        self._know({p for ps in parts.values() for p in ps})
+        for u, ps in parts.items():
+            cache[u] = b"".join([self.young[p] for p in ps])
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.tail) + len(self.head) > self.limit:
+        if len(self.young) > CACHE_PIECES // 2:
+            self.old, self.young = self.young, {}
+        if len(self.tail) + len(self.head) > CACHE_UNITS:
             self.tail.clear()
             self.head.clear()
-        if not self.line:
-            self.line = np.array(next(iter(self.whole(["\n"]))), np.int32).tobytes()
         split: list[list[list[str]] | None] = []
         new_tail: set[str] = set()
         new_head: set[str] = set()
         for x in texts:
-            if not x or "  " in x or " \n" in x or "\n " in x or "\n\n" in x or x.isspace():
+            if not x or "  " in x or " \n" in x or "\n " in x or "\n\n" in x or x.isspace() or any(k in x for k in self.special):
                 split.append(None)
                 continue
             lines = [s.split(" ") for s in x.split("\n")]
@@ -113,46 +137,85 @@ class Encoder:
             for units in lines:
                 if units[0] not in self.head:
                     new_head.add(units[0])
-                new_tail.update(u for u in units[1:] if u not in self.tail)
+                new_tail.update([u for u in units[1:] if u not in self.tail])
         odd = {u for u in new_tail | new_head if u and u.isspace()}  # other blanks on their own
+        self._know(["\n"])
         self._learn(self.tail, new_tail, " ")
         self._learn(self.head, new_head, "")
+        line, tail, head = self.young["\n"], self.tail, self.head
         out = []
         for x, lines in zip(texts, split, strict=True):
-            if lines is None or odd and any(u in odd for units in lines for u in units):
-                out.append(np.array(next(iter(self.whole([x]))), np.int32).tobytes() if x else b"")
-                continue
-            tail = self.tail
-            out.append(self.line.join(b"".join([self.head[u[0]], *[tail[v] for v in u[1:]]]) for u in lines))
+            if lines is not None and not (odd and any(u in odd for units in lines for u in units)):
+                out.append(line.join([b"".join([head[u[0]], *[tail[v] for v in u[1:]]]) for u in lines]))
+            elif x and any(k in x for k in self.special):
+                out.append(np.array(self.whole(x), np.int32).tobytes())
+            else:
+                parts = self.split(x or "")
+                self._know(set(parts))
+                out.append(b"".join([self.young[p] for p in parts]))
         for u in odd:
             self.tail.pop(u, None)
             self.head.pop(u, None)
         return out
 
 
+#: Encoders of this worker by their making, so that later tasks find the caches filled.
+_MADE: dict[tuple, Encoder] = {}
+
+
+def _once(make: Callable[..., Encoder]) -> Callable[..., Encoder]:
+    def made(*args: str) -> Encoder:
+        key = (make.__name__, *args)
+        if key not in _MADE:
+            _MADE[key] = make(*args)
+        return _MADE[key]
+
+    return made
+
+
+@_once
 def fold_encoder(path: str, pattern: str) -> Encoder:
     """Ranked merges of every pattern match."""
-    ranks, split = read_ranks(path), regex.compile(pattern)
-    return Encoder(lambda texts: ([i for w in split.findall(x) for i in fold_word(w.encode(), ranks)] for x in texts))
+    ranks = read_ranks(path)
+    return Encoder(pattern, lambda pieces: (fold_word(w.encode(), ranks) for w in pieces))
 
 
-def library_encoder(path: str) -> Encoder:
-    """The tokenizers library on a tokenizer file, without special tokens added."""
-    import os
+@_once
+def library_encoder(path: str, pattern: str) -> Encoder:
+    """The tokenizers library on a byte-level tokenizer file, without special tokens added.
 
+    ``pattern`` is the split that the file's byte-level step makes. Words after a space are handed
+    over joined, many at once: the split parts them again, and the ids' byte lengths tell where.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
     t = Tokenizer.from_file(path)
-    return Encoder(lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)] if texts else [])
+    size = np.zeros(t.get_vocab_size(), np.int64)
+    for piece, i in t.get_vocab(with_added_tokens=False).items():
+        size[i] = len(piece)  # a character of the file's alphabet stands for a byte
+
+    def pieces(fresh: list[str]) -> list[list[int]]:
+        out: list = [None] * len(fresh)
+        plain = [i for i, p in enumerate(fresh) if len(p) > 1 and p[0] == " " and p[1:].isalpha()]
+        for a in range(0, len(plain), 1000):
+            own = plain[a : a + 1000]
+            ids = np.array(t.encode_batch_fast(["".join([fresh[i] for i in own])], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.searchsorted(np.cumsum(size[ids]), np.cumsum([len(fresh[i].encode()) for i in own])) + 1
+            for i, part in zip(own, np.split(ids, ends[:-1]), strict=True):
+                out[i] = part
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, t.encode_batch_fast([fresh[i] for i in rest], add_special_tokens=False) if rest else [], strict=True):
+            out[i] = e.ids
+        return out
 
+    special = tuple(x.content for x in t.get_added_tokens_decoder().values())
+    return Encoder(pattern, pieces, lambda x: t.encode(x, add_special_tokens=False).ids, special)
 
+
+@_once
 def rank_encoder(path: str, pattern: str) -> Encoder:
     """The tiktoken library on a rank file, without special tokens."""
-    import tiktoken
-
     t = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
-    return Encoder(lambda texts: (t.encode_ordinary(x) for x in texts))
+    return Encoder(pattern, lambda pieces: (t.encode_ordinary(x) for x in pieces))
 
 
 def encoded(batches: Iterator[pa.RecordBatch], make: Callable[[], Encoder], some: int = 256) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
