@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import os
+import struct
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -24,9 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-#: Distinct units, and distinct words, that a worker keeps at most.
-CACHE_UNITS = 200_000
-CACHE_PIECES = 1_200_000
+#: Distinct units that a worker keeps at most.
+CACHE_UNITS = 1_400_000
 #: Byte length above which a word is merged with a heap instead of list scans.
 LONG_WORD = 64
 
@@ -88,77 +88,105 @@ def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Encoder:
     """Text -> int32 ids as bytes.
 
-    ``pieces`` encodes matches of the split pattern on their own. Texts that hold one of ``special``
-    go to ``whole`` as they are. Both caches are bounded: the units' cache starts anew when full, the
-    pieces' cache keeps what it has seen since it was last half full.
+    ``pieces`` encodes matches of the split pattern on their own, as int32 bytes. Texts that hold one
+    of ``special`` go to ``whole`` as they are. Units after a space, units at the start of a line and
+    matches of odd texts have a cache each; a cache that is half full becomes the old one, whose
+    entries are taken over as they are met again, so memory is bounded and frequent units stay.
     """
 
-    def __init__(self, pattern: str, pieces: Callable[[list[str]], Iterable[list[int]]], whole: Callable[[str], list[int]] | None = None, special: tuple[str, ...] = ()):
+    def __init__(self, pattern: str, pieces: Callable[[list[str]], Iterable[bytes]], whole: Callable[[str], bytes] | None = None, special: tuple[str, ...] = ()):
         self.split = regex.compile(pattern).findall
         self.pieces, self.whole, self.special = pieces, whole, special
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.tail: dict[str, bytes] = {}  # units after a space
-        self.head: dict[str, bytes] = {}  # units at the start of a line
+        self.tail: dict[str, bytes] = {}
+        self.old_tail: dict[str, bytes] = {}
+        self.head: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}
 
-    def _know(self, wanted: Iterable[str]) -> None:
-        young, old = self.young, self.old
+    def _learn(self, cache: dict[str, bytes], units: set[str], prefix: str) -> None:
+        """Fills a cache; words, and words with one sign after them, are split by hand."""
+        tail, odd = self.tail, self.odd
+        words: set[str] = set()  # of letters, after a space
+        matches: set[str] = set()
+        parts: dict[str, list[str]] = {}
+        simple: list[str] = []
+        for u in units:
+            if prefix and u.isalpha():
+                words.add(u)
+            elif prefix and len(u) > 1 and u[-1] in ".,;:!?" and u[:-1].isalpha():
+                simple.append(u)
+                words.add(u[:-1])
+                matches.add(u[-1])
+            else:
+                parts[u] = own = self.split(prefix + u)
+                matches.update(own)
+        old = self.old_tail
         fresh = []
-        for p in wanted:
-            if p not in young:
-                if p in old:
-                    young[p] = old[p]
+        for w in words:
+            if w not in tail:
+                if w in old:
+                    tail[w] = old[w]
                 else:
-                    fresh.append(p)
-        for p, ids in zip(fresh, self.pieces(fresh), strict=True):
-            young[p] = np.array(ids, np.int32).tobytes()
-
-    def _learn(self, cache: dict[str, bytes], units: set[str], prefix: str) -> None:
-        parts = {u: self.split(prefix + u) for u in units}
-        self._know({p for ps in parts.values() for p in ps})
-        for u, ps in parts.items():
-            cache[u] = b"".join([self.young[p] for p in ps])
+                    fresh.append(w)
+        tail.update(zip(fresh, self.pieces([f" {w}" for w in fresh]), strict=True))
+        self._know(matches)
+        for u in simple:
+            tail[u] = tail[u[:-1]] + odd[u[-1]]
+        for u, own in parts.items():
+            cache[u] = b"".join([odd[p] for p in own])
+
+    def _know(self, matches: Iterable[str]) -> None:
+        fresh = [p for p in matches if p not in self.odd]
+        self.odd.update(zip(fresh, self.pieces(fresh), strict=True))
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.young) > CACHE_PIECES // 2:
-            self.old, self.young = self.young, {}
-        if len(self.tail) + len(self.head) > CACHE_UNITS:
-            self.tail.clear()
-            self.head.clear()
-        split: list[list[list[str]] | None] = []
+        if len(self.tail) > CACHE_UNITS // 2:
+            self.old_tail, self.tail = self.tail, {}
+        for cache in (self.head, self.odd):
+            if len(cache) > CACHE_UNITS // 8:
+                cache.clear()
+        self._know(["\n"])
+        tail, head, line = self.tail, self.head, self.odd["\n"]
+        held: list = []
         new_tail: set[str] = set()
         new_head: set[str] = set()
         for x in texts:
             if not x or "  " in x or " \n" in x or "\n " in x or "\n\n" in x or x.isspace() or any(k in x for k in self.special):
-                split.append(None)
+                held.append(None)
                 continue
-            lines = [s.split(" ") for s in x.split("\n")]
-            split.append(lines)
-            for units in lines:
-                if units[0] not in self.head:
-                    new_head.add(units[0])
-                new_tail.update([u for u in units[1:] if u not in self.tail])
-        odd = {u for u in new_tail | new_head if u and u.isspace()}  # other blanks on their own
-        self._know(["\n"])
-        self._learn(self.tail, new_tail, " ")
-        self._learn(self.head, new_head, "")
-        line, tail, head = self.young["\n"], self.tail, self.head
+            lines = []
+            for part in x.split("\n"):
+                first, *units = part.split(" ")
+                got = list(map(tail.get, units))
+                if None in got:
+                    new_tail.update([u for u, g in zip(units, got, strict=True) if g is None])
+                    got = None
+                if first not in head:
+                    new_head.add(first)
+                lines.append((first, units, got))
+            held.append(lines)
+        blank = {u for u in new_tail | new_head if u and u.isspace()}  # other blanks on their own
+        self._learn(tail, new_tail, " ")
+        self._learn(head, new_head, "")
         out = []
-        for x, lines in zip(texts, split, strict=True):
-            if lines is not None and not (odd and any(u in odd for units in lines for u in units)):
-                out.append(line.join([b"".join([head[u[0]], *[tail[v] for v in u[1:]]]) for u in lines]))
+        for x, lines in zip(texts, held, strict=True):
+            if lines is not None and not (blank and any(f in blank or not blank.isdisjoint(u) for f, u, _ in lines)):
+                out.append(line.join([head[f] + b"".join([tail[v] for v in u] if got is None else got) for f, u, got in lines]))
             elif x and any(k in x for k in self.special):
-                out.append(np.array(self.whole(x), np.int32).tobytes())
+                out.append(self.whole(x))
             else:
                 parts = self.split(x or "")
                 self._know(set(parts))
-                out.append(b"".join([self.young[p] for p in parts]))
-        for u in odd:
-            self.tail.pop(u, None)
-            self.head.pop(u, None)
+                out.append(b"".join([self.odd[p] for p in parts]))
+        for u in blank:
+            tail.pop(u, None)
+            head.pop(u, None)
         return out
 
 
+def _bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}i", *ids)
+
+
 #: Encoders of this worker by their making, so that later tasks find the caches filled.
 _MADE: dict[tuple, Encoder] = {}
 
@@ -177,7 +205,7 @@ def _once(make: Callable[..., Encoder]) -> Callable[..., Encoder]:
 def fold_encoder(path: str, pattern: str) -> Encoder:
     """Ranked merges of every pattern match."""
     ranks = read_ranks(path)
-    return Encoder(pattern, lambda pieces: (fold_word(w.encode(), ranks) for w in pieces))
+    return Encoder(pattern, lambda pieces: [_bytes(fold_word(w.encode(), ranks)) for w in pieces])
 
 
 @_once
@@ -193,29 +221,31 @@ def library_encoder(path: str, pattern: str) -> Encoder:
     for piece, i in t.get_vocab(with_added_tokens=False).items():
         size[i] = len(piece)  # a character of the file's alphabet stands for a byte
 
-    def pieces(fresh: list[str]) -> list[list[int]]:
+    def pieces(fresh: list[str]) -> list[bytes]:
         out: list = [None] * len(fresh)
         plain = [i for i, p in enumerate(fresh) if len(p) > 1 and p[0] == " " and p[1:].isalpha()]
         for a in range(0, len(plain), 1000):
             own = plain[a : a + 1000]
-            ids = np.array(t.encode_batch_fast(["".join([fresh[i] for i in own])], add_special_tokens=False)[0].ids, np.int64)
+            ids = np.array(t.encode_batch_fast(["".join([fresh[i] for i in own])], add_special_tokens=False)[0].ids, np.int32)
             ends = np.searchsorted(np.cumsum(size[ids]), np.cumsum([len(fresh[i].encode()) for i in own])) + 1
-            for i, part in zip(own, np.split(ids, ends[:-1]), strict=True):
-                out[i] = part
+            raw, at = ids.tobytes(), 0
+            for i, end in zip(own, (4 * ends).tolist(), strict=True):
+                out[i] = raw[at:end]
+                at = end
         rest = [i for i, x in enumerate(out) if x is None]
         for i, e in zip(rest, t.encode_batch_fast([fresh[i] for i in rest], add_special_tokens=False) if rest else [], strict=True):
-            out[i] = e.ids
+            out[i] = _bytes(e.ids)
         return out
 
     special = tuple(x.content for x in t.get_added_tokens_decoder().values())
-    return Encoder(pattern, pieces, lambda x: t.encode(x, add_special_tokens=False).ids, special)
+    return Encoder(pattern, pieces, lambda x: _bytes(t.encode(x, add_special_tokens=False).ids), special)
 
 
 @_once
 def rank_encoder(path: str, pattern: str) -> Encoder:
     """The tiktoken library on a rank file, without special tokens."""
     t = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
-    return Encoder(pattern, lambda pieces: (t.encode_ordinary(x) for x in pieces))
+    return Encoder(pattern, lambda pieces: [_bytes(t.encode_ordinary(x)) for x in pieces])
 
 
 def encoded(batches: Iterator[pa.RecordBatch], make: Callable[[], Encoder], some: int = 256) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
