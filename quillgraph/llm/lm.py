@@ -8,7 +8,8 @@ left to right, the state is the last word read; an arc's or failure arc's weight
 prior m is the value of ``PRIORS`` under which the training tokens are likeliest when each is left
 out of the counts.
 
-Counting and scoring are two passes over chunks of documents. A chunk sends each distinct n-gram
+A first pass sums the training words. Counting and scoring are two more, over chunks of documents
+that are dealt once. A chunk sends each distinct n-gram
 it holds, with its training count, to a shard; shards answer with the corpus count; the chunk
 builds the part of the automaton that its documents can reach and runs them through it. What moves
 grows with the input; nothing is broadcast but a few sums; frequent words weigh no more than rare
@@ -73,24 +74,42 @@ def _ask(shards: int):
     return run
 
 
-def _count(shards: int):
-    def run(t: pa.Table) -> pa.Table:
-        blocks = [unpack(x) for x in t.column("blob").to_pylist()]
-        _, of = np.unique(np.concatenate([unpack_keys(b[0]) for b in blocks]), return_inverse=True)
-        total = np.bincount(of, np.concatenate([b[1] for b in blocks]).astype(np.float64)).astype(np.int64)
-        words = t.column("shard")[0].as_py() < shards
-        seen = total[total > 0] if words else total[:0]
-        sums = (int(seen.sum()), len(seen), int((seen == 1).sum()), int((seen == 2).sum()))
-        answer, at, out = total[of], 0, []
-        for b in blocks:
-            out.append(pack(answer[at : at + len(b[1])]))
-            at += len(b[1])
-        once = [[s] + [0] * (len(out) - 1) for s in sums]
-        return pa.table({"chunk": t.column("chunk"), "shard": t.column("shard"), "blob": pa.array(out, pa.binary()), **{k: pa.array(v, pa.int64()) for k, v in zip(("n", "v", "n1", "n2"), once, strict=True)}})
+def _totals(blocks: list[list]) -> tuple[np.ndarray, np.ndarray]:
+    """Summed counts of distinct keys, and each entry's key number."""
+    _, of = np.unique(np.concatenate([unpack_keys(b[0]) for b in blocks]), return_inverse=True)
+    return np.bincount(of, np.concatenate([b[1] for b in blocks]).astype(np.float64)).astype(np.int64), of
+
+
+def _count(t: pa.Table) -> pa.Table:
+    blocks = [unpack(x) for x in t.column("blob").to_pylist()]
+    total, of = _totals(blocks)
+    answer, at, out = total[of], 0, []
+    for b in blocks:
+        out.append(pack(answer[at : at + len(b[1])]))
+        at += len(b[1])
+    return pa.table({"chunk": t.column("chunk"), "shard": t.column("shard"), "blob": pa.array(out, pa.binary())})
+
+
+def _train_words(shards: int):
+    """Training counts of each batch's words, for the shards."""
+
+    def run(batches):
+        words = WordHasher()
+        for t in batches:
+            parts = [x for raw, out in zip(texts_of(t), t.column("held_out").to_pylist(), strict=True) if not out for x in (words(raw), np.array([END]))]
+            if parts:
+                h, n = np.unique(np.concatenate(parts), return_counts=True)
+                rows = [(s, pack(pack_keys(h[at]), n[at].astype(np.uint32))) for s, at in shares(h, shards)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "blob"])
 
     return run
 
 
+def _word_sums(t: pa.Table) -> pa.Table:
+    total, _ = _totals([unpack(x) for x in t.column("blob").to_pylist()])
+    return pa.table({k: pa.array([int(v)], pa.int64()) for k, v in (("n", total.sum()), ("v", len(total)), ("n1", (total == 1).sum()), ("n2", (total == 2).sum()))})
+
+
 class Automaton:
     """Root arcs, failure arcs and bigram arcs of the words and pairs of one chunk, for one prior."""
 
@@ -148,10 +167,11 @@ def backoff_scores(docs: DataFrame, held_out: Column | None = None, chunk: int =
     n = chunk_count(text_bytes(docs), chunk)
     chunks = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out")).withColumn("chunk", hash_bucket(n, "doc_id")).repartition(n, "chunk")
     grouped = chunks.groupBy("chunk")
-    answers = cut(grouped.applyInArrow(_ask(n), "shard int, chunk int, blob binary").groupBy("shard").applyInArrow(_count(n), "chunk int, shard int, blob binary, n long, v long, n1 long, n2 long"))
-    sums = [int(x or 0) for x in answers.agg(*[F.sum(c) for c in ("n", "v", "n1", "n2")]).first()]
+    words = docs.select("text", F.coalesce(held_out, F.lit(False)).alias("held_out")).mapInArrow(_train_words(n), "shard int, blob binary").groupBy("shard").applyInArrow(_word_sums, "n long, v long, n1 long, n2 long")
+    sums = [int(x or 0) for x in words.agg(*[F.sum(c) for c in ("n", "v", "n1", "n2")]).first()]
+    answers = grouped.applyInArrow(_ask(n), "shard int, chunk int, blob binary").groupBy("shard").applyInArrow(_count, "chunk int, shard int, blob binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, scores array<double>, left_out array<double>"
-    scored = cut(grouped.cogroup(answers.select("chunk", "shard", "blob").groupBy("chunk")).applyInArrow(_score(n, *sums), schema))
+    scored = cut(grouped.cogroup(answers.groupBy("chunk")).applyInArrow(_score(n, *sums), schema))
     likely = scored.agg(*[F.sum(F.get("left_out", F.lit(i))) for i in range(len(PRIORS))]).first()
     best = max(range(len(PRIORS)), key=lambda i: likely[i] if likely[i] is not None else float("-inf"))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(sums[0]).cast("long").alias("train_tokens"), "base_score", F.get("scores", F.lit(best)).alias("score"), F.lit(PRIORS[best]).alias("prior"))
