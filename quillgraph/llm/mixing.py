@@ -24,6 +24,8 @@ from .base import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 LEVELS, ROUNDS = 4, 10
+#: Tables of up to so many sources are broadcast; larger ones meet the documents in a shuffled join.
+FEW_SOURCES = 10_000
 
 
 def token_count(column: str = "text") -> Column:
@@ -55,7 +57,10 @@ def _bisect(low: float, high: float, holds, want_high: bool) -> float:
 
 
 def mixture(sources: DataFrame, entropy_share: float, max_repeats: float, whole: bool = False) -> tuple[float, DataFrame]:
-    """The exponent, and ``(source, tokens, weight, budget)`` for a table ``(source, tokens)``."""
+    """The exponent, and ``(source, tokens, weight, budget)`` for a table ``(source, tokens)``.
+
+    The table of weights is marked for broadcast if it was counted to hold few sources.
+    """
     held = sources.filter("tokens > 0")
     total, count = held.agg(F.sum("tokens"), F.count("*")).first()
     if not count:
@@ -77,7 +82,8 @@ def mixture(sources: DataFrame, entropy_share: float, max_repeats: float, whole:
     budget = total * (z * least if whole else 1.0)
     weight = F.when(F.col("tokens") > 0, F.exp(lp * a) / F.lit(z)).otherwise(F.lit(0.0))
     filled = F.floor(weight * F.lit(float(budget)) + 0.5).cast("long")
-    return a, sources.select("source", "tokens", weight.alias("weight"), (F.greatest(filled, F.col("tokens")) if whole else filled).alias("budget"))
+    out = sources.select("source", "tokens", weight.alias("weight"), (F.greatest(filled, F.col("tokens")) if whole else filled).alias("budget"))
+    return a, F.broadcast(out) if sources.count() <= FEW_SOURCES else out
 
 
 def mix(docs: DataFrame, entropy_share: float = 0.97, max_repeats: float = 4.0, block_tokens: int = 1 << 16, seed: int = 17, whole: bool = False) -> DataFrame:
