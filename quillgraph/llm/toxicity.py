@@ -21,6 +21,7 @@ from collections import Counter
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
@@ -79,10 +80,20 @@ class Lexicon:
 
     def __init__(self, terms: dict[str, float], exceptions: frozenset[tuple[str, str]] = frozenset(), curve: tuple[float, float] = (0.0, 0.0)):
         self.terms, self.exceptions, self.curve = terms, exceptions, curve
+        self._build()
+
+    def __getstate__(self) -> tuple:
+        return self.terms, self.exceptions, self.curve
+
+    def __setstate__(self, state: tuple) -> None:
+        self.terms, self.exceptions, self.curve = state
+        self._build()  # an automaton does not travel; each worker builds its own
+
+    def _build(self) -> None:
         self.machine = ahocorasick.Automaton()
-        for t, w in terms.items():
+        for t, w in self.terms.items():
             self.machine.add_word(f" {t}", (len(t) + 1, w))
-        if terms:
+        if self.terms:
             self.machine.make_automaton()
 
     def hits(self, words: list[str]):
@@ -114,17 +125,27 @@ class Lexicon:
 
 
 def _terms_of(batches):
-    """Per batch, how many toxic and clean documents hold each word and stem."""
+    """Rows ``term, kin, clean``: each toxic document's words and stems with its kin, and how many clean ones of the batch hold a term.
+
+    Near copies share their kin, the least hash of their words, most of the time; counting kin keeps
+    words that only come along in many copies of one toxic document out of the lexicon.
+    """
     for t in batches:
-        n: dict[str, list[int]] = {}
+        clean: Counter = Counter()
+        terms: list[str] = []
+        kin: list[int] = []
         for text, toxic in zip(t.column("text").to_pylist(), t.column("toxic").to_pylist(), strict=True):
             words = set(fold(text or ""))
-            for k in {f"{w} " for w in words if len(w) > 2} | {w[:s] for w in words for s in STEMS if len(w) > s}:
-                n.setdefault(k, [0, 0])[toxic] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array([v[1] for v in n.values()], pa.int64()), pa.array([v[0] for v in n.values()], pa.int64())], ["term", "toxic", "clean"])
+            own = {f"{w} " for w in words if len(w) > 2} | {w[:s] for w in words for s in STEMS if len(w) > s}
+            if toxic and words:
+                terms += own
+                kin += [min(xxhash.xxh64_intdigest(w) for w in words) >> 1] * len(own)
+            elif not toxic:
+                clean.update(own)
+        yield pa.RecordBatch.from_arrays([pa.array([*terms, *clean]), pa.array([*kin, *[None] * len(clean)], pa.int64()), pa.array([*[0] * len(terms), *clean.values()], pa.int64())], ["term", "kin", "clean"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, fit_rows: int = 8192, most_terms: int = 4096, least_docs: int = 4, least_odds: float = 3.0) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, fit_rows: int = 8192, most_terms: int = 4096, least_docs: int = 8, least_odds: float = 3.0) -> Lexicon:
     """A lexicon from labelled rows (default: crc32 of the id's text, modulo 5, is not 0)."""
     learn = crc_of_id() % 5 != 0 if learn is None else learn
     marked = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & learn).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -135,11 +156,14 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, fit_row
     if not n1 or not n0:
         return Lexicon({})
     odds = F.log((F.col("t") + 0.5) / (n1 + 1.0)) - F.log((F.col("c") + 0.5) / (n0 + 1.0))
-    counted = rows.mapInArrow(_terms_of, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    counted = rows.mapInArrow(_terms_of, "term string, kin long, clean long").groupBy("term").agg(F.count_distinct("kin").alias("t"), F.sum("clean").alias("c"))
     best = counted.withColumn("odds", odds).filter((F.col("t") >= least_docs) & (F.col("odds") >= least_odds) & (F.col("t") > 2 * F.col("c"))).orderBy(F.desc("t"), "term").limit(most_terms).collect()
-    held = {r["term"]: r["odds"] for r in best}
-    # A longer term adds nothing where a stem of it is at least nearly as telling.
-    terms = {k: w for k, w in held.items() if not any(held.get(k[:s], 0.0) >= 0.9 * w for s in STEMS if s < len(k.rstrip(" ")) or s < len(k))}
+    held = {r["term"]: (r["odds"], r["t"]) for r in best}
+    # A stem that stands for one longer term in nearly all its documents says no more than that term;
+    # of the others, a longer term adds nothing where a stem of it is at least nearly as telling.
+    single = {k[:n] for k, (_, t) in held.items() for n in STEMS if n < len(k) and t >= 0.9 * held.get(k[:n], (0, 1 << 60))[1]}
+    kept = {k: w for k, (w, _) in held.items() if k not in single}
+    terms = {k: w for k, w in kept.items() if not any(kept.get(k[:n], 0.0) >= 0.9 * w for n in STEMS if n < len(k))}
     lexicon = Lexicon(terms)
 
     def contexts(batches):
@@ -165,7 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, fit_row
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Intercept and slope by Newton steps with a light penalty, so that separable rows settle."""
-    scale = max(float(np.abs(x).max()), 1e-9) if len(x) else 1.0
+    hit = x[x > 0]
+    scale = float(np.quantile(hit, 0.1)) if len(hit) else 1.0  # light hits must count too
     z = np.stack([np.ones(len(x)), x / scale], 1)
     w = np.zeros(2)
     for _ in range(60):
@@ -179,12 +204,9 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def score(docs: DataFrame, lexicon: Lexicon, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """``docs`` with a score (0 to 1) and a prediction (1 from 0.5 on); one pass, no shuffle."""
-    kept = {"terms": lexicon.terms, "exceptions": lexicon.exceptions, "curve": lexicon.curve}  # the automaton is built by each worker
-
     def run(batches):
-        own = Lexicon(**kept)
         for t in batches:
-            s = [own.score(x or "") for x in t.column("text").to_pylist()]
+            s = [lexicon.score(x or "") for x in t.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*t.columns, pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], [*t.schema.names, *names])
 
     schema = StructType([*docs.schema.fields]).add(names[0], DoubleType()).add(names[1], IntegerType())
