@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .base import cut
+
 #: Distinct units that a worker keeps at most.
 CACHE_UNITS = 1_400_000
 #: Byte length above which a word is merged with a heap instead of list scans.
@@ -324,7 +326,7 @@ def length_histogram(lengths: DataFrame, column: str = "n_tokens", coarse: int =
     all distinct lengths.
     """
     hist = lengths.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("long").alias("n_tokens")).agg(F.count("*").alias("n_docs"))
-    hist = hist.withColumn("range", F.floor(F.col("n_tokens") / F.lit(coarse)))
+    hist = cut(hist.withColumn("range", F.floor(F.col("n_tokens") / F.lit(coarse))))  # used twice; the lengths are dear
     ranges = hist.groupBy("range").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
