@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from quillgraph.plans import queries as _  # noqa: F401
+from quillgraph.plans import extraction_queries, queries  # noqa: F401
 from quillgraph.plans.registry import ORACLE, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
