@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quillgraph.engine import GraphEngine
 from quillgraph.functions import paths, text
 from quillgraph.operators import code_search, control, evaluate, merge
 from quillgraph.sources import extract, files, parsers, scip, sinks
@@ -62,6 +63,18 @@ def test_extraction_does_not_depend_on_partitions(tree, graph):
     assert rows(again.nodes) == rows(graph[0].nodes) and rows(again.edges) == rows(graph[0].edges)
 
 
+def test_engine(spark, tree, graph):
+    e = GraphEngine(graph[0], tree)
+    ids = {r["name"]: r["id"] for r in graph[0].nodes.collect()}
+    assert [r["name"] for r in e.search("userservice")[0].collect()][0] == "UserService"
+    said, path, steps = e.trace(ids["openapi.yaml"], ids["show"])
+    assert said == "found" and not path.undirected and [r["relationship"] for r in steps.orderBy("step").collect()] == ["DEFINES", "IMPLEMENTED_BY", "ROUTES_TO"]
+    assert {r["name"] for r in e.tree_level("docs").collect()} == {"guide.md"} and e.changed_since(e.manifest()).count() == 0
+    assert e.node_detail(ids["UserService"])["children"].count() == 2 and e.model().count() == graph[0].nodes.count()
+    assert [r["body"] for r in e.source_window("src/repo.ts", start=1, end=1)[0].collect()] == ["// import x from 'y'"]
+    assert e.query("data", limit=50).nodes.count() > 0 and not e.query("files", root=ids["src"], depth=1).truncated
+
+
 def test_roles(spark, graph):
     got = {r["id"]: r["role"] for r in extract.roles(graph[0]).collect()}
     byname = {r["id"]: r["name"] for r in graph[0].nodes.collect()}
