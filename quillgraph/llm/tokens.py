@@ -159,20 +159,22 @@ class Encoder:
             for part in x.split("\n"):
                 first, *units = part.split(" ")
                 got = list(map(tail.get, units))
-                if None in got:
-                    new_tail.update([u for u, g in zip(units, got, strict=True) if g is None])
-                    got = None
+                missed = [i for i, g in enumerate(got) if g is None] if None in got else ()
+                new_tail.update([units[i] for i in missed])
                 if first not in head:
                     new_head.add(first)
-                lines.append((first, units, got))
+                lines.append((first, units, got, missed))
             held.append(lines)
         blank = {u for u in new_tail | new_head if u and u.isspace()}  # other blanks on their own
         self._learn(tail, new_tail, " ")
         self._learn(head, new_head, "")
         out = []
         for x, lines in zip(texts, held, strict=True):
-            if lines is not None and not (blank and any(f in blank or not blank.isdisjoint(u) for f, u, _ in lines)):
-                out.append(line.join([head[f] + b"".join([tail[v] for v in u] if got is None else got) for f, u, got in lines]))
+            if lines is not None and not (blank and any(f in blank or not blank.isdisjoint(u) for f, u, _, _ in lines)):
+                for _, units, got, missed in lines:
+                    for i in missed:
+                        got[i] = tail[units[i]]
+                out.append(line.join([head[f] + b"".join(got) for f, _, got, _ in lines]))
             elif x and any(k in x for k in self.special):
                 out.append(self.whole(x))
             else:
