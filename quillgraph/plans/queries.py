@@ -408,7 +408,7 @@ def m09_new_nodes(spark, sf_dir):
     return merge.merge_slices(*_slices(held_graph(spark, sf_dir)))[1]
 
 
-@query("m07_run_counters", "SELECT CASE WHEN event_type IN ('view') THEN 'documentCount' ELSE 'a' || (user_id % 3) || '.' || event_type END AS counter, CASE WHEN event_type = 'view' THEN max(event_id) ELSE sum(event_id) END AS value FROM events GROUP BY CASE WHEN event_type IN ('view') THEN 'documentCount' ELSE 'a' || (user_id % 3) || '.' || event_type END, event_type")
+@query("m07_run_counters", "SELECT CASE WHEN event_type IN ('view') THEN 'documentCount' ELSE 'a' || (user_id % 3) || '.' || event_type END AS counter, CAST(CASE WHEN event_type = 'view' THEN max(event_id) ELSE sum(event_id) END AS BIGINT) AS value FROM events GROUP BY CASE WHEN event_type IN ('view') THEN 'documentCount' ELSE 'a' || (user_id % 3) || '.' || event_type END, event_type")
 def m07_run_counters(spark, sf_dir):
     e = _table(spark, sf_dir, "events").select(F.concat(F.lit("a"), F.col("user_id") % 3).alias("analyzer"), F.when(F.col("event_type") == "view", "documentCount").otherwise(F.col("event_type")).alias("name"), F.col("event_id").alias("value"))
     return merge.run_counters(e)
