@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import struct
 import tempfile
 
@@ -76,6 +78,44 @@ def crc_of_id(column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
+# ---------------------------------------------------------------- workers' memory
+
+
+def trim() -> None:
+    """Gives memory that this worker has freed back to the system, where it can be done."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(function):
+    """A group function that leaves no freed memory with its worker, which outlives it."""
+
+    def one(table):
+        out = function(table)
+        trim()
+        return out
+
+    def two(left, right):
+        out = function(left, right)
+        trim()
+        return out
+
+    return one if function.__code__.co_argcount == 1 else two  # Spark counts the arguments
+
+
+def lean_batches(function):
+    """The same for a function of an iterator of batches."""
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            trim()
+
+    return run
+
+
 # ---------------------------------------------------------------- packed blocks
 
 

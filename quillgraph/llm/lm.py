@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import U64, WordHasher, chunk_count, crc_of_id, cut, hash_bucket, mix64, pack, pack_keys, shares, text_bytes, texts_of, unpack, unpack_keys
+from .base import U64, WordHasher, chunk_count, crc_of_id, cut, hash_bucket, lean, lean_batches, mix64, pack, pack_keys, shares, text_bytes, texts_of, unpack, unpack_keys
 
 END, START = U64(0xE4D), U64(0x57A27)
 #: Bits of a bigram's hash: less to move, and at 10**13 bigrams one in 7000 meets another.
@@ -167,11 +167,11 @@ def backoff_scores(docs: DataFrame, held_out: Column | None = None, chunk: int =
     n = chunk_count(text_bytes(docs), chunk)
     chunks = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out")).withColumn("chunk", hash_bucket(n, "doc_id")).repartition(n, "chunk")
     grouped = chunks.groupBy("chunk")
-    words = docs.select("text", F.coalesce(held_out, F.lit(False)).alias("held_out")).mapInArrow(_train_words(n), "shard int, blob binary").groupBy("shard").applyInArrow(_word_sums, "n long, v long, n1 long, n2 long")
+    words = docs.select("text", F.coalesce(held_out, F.lit(False)).alias("held_out")).mapInArrow(lean_batches(_train_words(n)), "shard int, blob binary").groupBy("shard").applyInArrow(lean(_word_sums), "n long, v long, n1 long, n2 long")
     sums = [int(x or 0) for x in words.agg(*[F.sum(c) for c in ("n", "v", "n1", "n2")]).first()]
-    answers = grouped.applyInArrow(_ask(n), "shard int, chunk int, blob binary").groupBy("shard").applyInArrow(_count, "chunk int, shard int, blob binary")
+    answers = grouped.applyInArrow(lean(_ask(n)), "shard int, chunk int, blob binary").groupBy("shard").applyInArrow(lean(_count), "chunk int, shard int, blob binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, scores array<double>, left_out array<double>"
-    scored = cut(grouped.cogroup(answers.groupBy("chunk")).applyInArrow(_score(n, *sums), schema))
+    scored = cut(grouped.cogroup(answers.groupBy("chunk")).applyInArrow(lean(_score(n, *sums)), schema))
     likely = scored.agg(*[F.sum(F.get("left_out", F.lit(i))) for i in range(len(PRIORS))]).first()
     best = max(range(len(PRIORS)), key=lambda i: likely[i] if likely[i] is not None else float("-inf"))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(sums[0]).cast("long").alias("train_tokens"), "base_score", F.get("scores", F.lit(best)).alias("score"), F.lit(PRIORS[best]).alias("prior"))

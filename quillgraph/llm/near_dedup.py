@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import U64, WordHasher, cut, mix64, texts_of
+from .base import U64, WordHasher, cut, lean, lean_batches, mix64, texts_of
 from .components import components
 
 BINS = 128
@@ -243,7 +243,7 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, one row per row of ``docs``."""
     p = params or Params()
     docs = docs.select("doc_id", "text")
-    signed = cut(docs.mapInArrow(_signer(p), "doc_id long, n_shingles long, fp binary, bands array<long>, sketch binary"))
+    signed = cut(docs.mapInArrow(lean_batches(_signer(p)), "doc_id long, n_shingles long, fp binary, bands array<long>, sketch binary"))
     held = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = held.groupBy("fp").agg(F.min("doc_id").alias("id"))
     # A repeated doc_id with different texts belongs to several classes: one node.
@@ -269,9 +269,9 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     clusters = components(near)
 
     sized = clusters.join(clusters.groupBy("component").agg(F.count("*").alias("c")), "component")
-    wanted = docs.join(clusters.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").filter("doc_id IS NOT NULL").mapInArrow(_set_reader(p), "id long, shingles binary").filter("length(shingles) > 0")
+    wanted = docs.join(clusters.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").filter("doc_id IS NOT NULL").mapInArrow(lean_batches(_set_reader(p)), "id long, shingles binary").filter("length(shingles) > 0")
     tiles = _tiles(sized, "component", "c", p.verify_tile).join(wanted, "id")
-    links = tiles.groupBy("component", "t1", "t2").applyInArrow(_tile_links(p), "a long, b long")
+    links = tiles.groupBy("component", "t1", "t2").applyInArrow(lean(_tile_links(p)), "a long, b long")
     final = components(links.union(tied))
 
     labelled = classes.join(final, "id", "left").select("fp", F.coalesce("component", "id").alias("component"))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .base import U64, chunk_count, mix64, pack, pack_keys, range_bucket, shares, text_bytes, unpack, unpack_keys
+from .base import U64, chunk_count, lean, mix64, pack, pack_keys, range_bucket, shares, text_bytes, unpack, unpack_keys
 from .suffix_array import common_prefixes, suffix_array
 
 _BASE = 0x9E3779B97F4A7C15
@@ -405,8 +405,8 @@ def remove_repeats(docs: DataFrame, params: Params | None = None, keep_text: boo
     chunks = docs.select(*own, "doc_id", "text", range_bucket(docs, n).alias("chunk")).repartition(n, "chunk")
     grouped = chunks.groupBy("chunk")
     pair, back = "shard int, chunk int, blob binary", "chunk int, shard int, blob binary"
-    settled = grouped.applyInArrow(_ask(p, n), pair).groupBy("shard").applyInArrow(_settle(p), back)
-    sent = grouped.cogroup(settled.groupBy("chunk")).applyInArrow(_send(p, n), pair)
-    replies = sent.groupBy("shard").applyInArrow(_judge(p, n), back)
+    settled = grouped.applyInArrow(lean(_ask(p, n)), pair).groupBy("shard").applyInArrow(lean(_settle(p)), back)
+    sent = grouped.cogroup(settled.groupBy("chunk")).applyInArrow(lean(_send(p, n)), pair)
+    replies = sent.groupBy("shard").applyInArrow(lean(_judge(p, n)), back)
     schema = StructType([*(StructField(f"_{c}", docs.schema[c].dataType) for c in carry), *StructType.fromDDL(_RESULT).fields])
-    return grouped.cogroup(replies.groupBy("chunk")).applyInArrow(_apply(p, n, keep_text, list(carry)), schema)
+    return grouped.cogroup(replies.groupBy("chunk")).applyInArrow(lean(_apply(p, n, keep_text, list(carry))), schema)

@@ -25,10 +25,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .base import cut
+from .base import cut, lean_batches
 
 #: Distinct units that a worker keeps at most.
-CACHE_UNITS = 1_400_000
+CACHE_UNITS = 500_000
 #: Byte length above which a word is merged with a heap instead of list scans.
 LONG_WORD = 64
 
@@ -281,7 +281,7 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN)
         for part, blobs in encoded(batches, lambda: fold_encoder(path, pattern)):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), _list(blobs)], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(lean_batches(run), "doc_id long, ids array<int>")
 
 
 def decode(ids: DataFrame, path: str) -> DataFrame:
@@ -296,7 +296,7 @@ def decode(ids: DataFrame, path: str) -> DataFrame:
             got = [b"".join([piece[i] for i in row or ()]) for row in _rows_of(t.column("ids"))]
             yield pa.RecordBatch.from_arrays([t.column("doc_id"), t.column("ids"), pa.array(got, pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return ids.select("doc_id", "ids").mapInArrow(lean_batches(run), "doc_id long, ids array<int>, decoded binary")
 
 
 def _rows_of(col: pa.ListArray) -> Iterator[list[int]]:
@@ -312,7 +312,7 @@ def encoded_lengths(docs: DataFrame, path: str, pattern: str = public_tokenizers
         for part, blobs in encoded(batches, lambda: rank_encoder(path, pattern)):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(b) // 4 for b in blobs], pa.int64())], ["doc_id", "n_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(lean_batches(run), "doc_id long, n_tokens long")
 
 
 def length_histogram(lengths: DataFrame, column: str = "n_tokens", coarse: int = 1024) -> DataFrame:

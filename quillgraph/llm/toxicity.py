@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-from .base import crc_of_id
+from .base import crc_of_id, cut, lean_batches
 
 #: Characters that are drawn like a plain letter, by that letter.
 LOOKALIKES = {
@@ -151,12 +151,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, fit_row
     marked = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & learn).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)  # bounded: small enough to broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    rows = cut(rows)  # read four times; fit_rows texts at most
     sizes = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return Lexicon({})
     odds = F.log((F.col("t") + 0.5) / (n1 + 1.0)) - F.log((F.col("c") + 0.5) / (n0 + 1.0))
-    counted = rows.mapInArrow(_terms_of, "term string, kin long, clean long").groupBy("term").agg(F.count_distinct("kin").alias("t"), F.sum("clean").alias("c"))
+    counted = rows.mapInArrow(lean_batches(_terms_of), "term string, kin long, clean long").groupBy("term").agg(F.count_distinct("kin").alias("t"), F.sum("clean").alias("c"))
     best = counted.withColumn("odds", odds).filter((F.col("t") >= least_docs) & (F.col("odds") >= least_odds) & (F.col("t") > 2 * F.col("c"))).orderBy(F.desc("t"), "term").limit(most_terms).collect()
     held = {r["term"]: (r["odds"], r["t"]) for r in best}
     # A stem that stands for one longer term in nearly all its documents says no more than that term;
@@ -210,4 +211,4 @@ def score(docs: DataFrame, lexicon: Lexicon, names: tuple[str, str] = ("score",
             yield pa.RecordBatch.from_arrays([*t.columns, pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], [*t.schema.names, *names])
 
     schema = StructType([*docs.schema.fields]).add(names[0], DoubleType()).add(names[1], IntegerType())
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean_batches(run), schema)
