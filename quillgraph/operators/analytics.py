@@ -30,10 +30,11 @@ def normalised_degree(counts: DataFrame) -> DataFrame:
     return counts.select("id", value.alias("degree_score"))
 
 
-def page_rank(g: Graph, damping: float = 0.85, iterations: int = 30, every: int = 10) -> DataFrame:
+def page_rank(g: Graph, damping: float = 0.85, iterations: int = 30, every: int = 5) -> DataFrame:
     """``(id, rank)`` over behavioural edges, scaled so that the largest is 1.
 
-    Self-loops are dropped, parallel edges count each, dangling mass is spread evenly.
+    Self-loops are dropped, parallel edges count each, dangling mass is spread evenly. ``every`` so
+    many rounds run as one job: a round is kept for its two readers, the last is checkpointed.
     """
     ids = g.nodes.select("id").distinct()
     e = g.edges.filter(F.col("relationship").isin(*BEHAVIOURAL) & (F.col("source") != F.col("target"))).select("source", "target")
@@ -45,11 +46,18 @@ def page_rank(g: Graph, damping: float = 0.85, iterations: int = 30, every: int
     if not n:
         return ids.withColumn("rank", F.lit(0.0))
     rank = base.withColumn("rank", F.lit(1.0 / n))
+    held = []
     for i in range(1, iterations + 1):
-        lost = rank.agg(F.sum(F.when(F.col("out").isNull(), F.col("rank")))).first()[0] or 0.0
+        lost = rank.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("rank"))), F.lit(0.0)).alias("lost")).scalar()
         got = e.join(rank.filter("out IS NOT NULL").select(F.col("id").alias("source"), (F.col("rank") / F.col("out")).alias("share")), "source").groupBy(F.col("target").alias("id")).agg(F.sum(F.col("share") * F.col("w")).alias("got"))
         rank = base.join(got, "id", "left").select("id", "out", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + lost / n)).alias("rank"))
-        rank = checkpointed(rank) if i % every == 0 or i == iterations else rank.persist()
+        if i % every == 0 or i == iterations:
+            rank = checkpointed(rank)
+            while held:
+                held.pop().unpersist()
+        else:
+            held.append(rank.persist())
+            rank = held[-1]
     top = rank.agg(F.max("rank")).first()[0]
     return rank.select("id", (F.col("rank") / top).alias("rank"))
 
