@@ -165,7 +165,7 @@ def backoff_scores(docs: DataFrame, held_out: Column | None = None, chunk: int =
     """
     held_out = crc_of_id() % 7 == 2 if held_out is None else held_out
     n = chunk_count(text_bytes(docs), chunk)
-    chunks = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out")).withColumn("chunk", hash_bucket(n, "doc_id")).repartition(n, "chunk")
+    chunks = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out")).withColumn("chunk", hash_bucket(n, "doc_id", "text")).repartition(n, "chunk")
     grouped = chunks.groupBy("chunk")
     words = docs.select("text", F.coalesce(held_out, F.lit(False)).alias("held_out")).mapInArrow(lean_batches(_train_words(n)), "shard int, blob binary").groupBy("shard").applyInArrow(lean(_word_sums), "n long, v long, n1 long, n2 long")
     sums = [int(x or 0) for x in words.agg(*[F.sum(c) for c in ("n", "v", "n1", "n2")]).first()]
