@@ -399,8 +399,8 @@ def code_tokens(text: str) -> list[Token]:
     return out
 
 
-def calls(tokens: list[Token]) -> Iterator[tuple[list[str], list[list[Token]], int, bool]]:
-    """Every call ``a.b.c(...)``: the dotted name, its arguments' tokens, its line, and whether ``new`` stands before it."""
+def calls(tokens: list[Token]) -> Iterator[tuple[list[str], list[list[Token]], int, str]]:
+    """Every call ``a.b.c(...)``: the dotted name, its arguments' tokens, its line, and what stands before it (``new``, ``@``)."""
     for i, t in enumerate(tokens):
         if t.text != "(" or not i or tokens[i - 1].kind != "name":
             continue
@@ -425,7 +425,7 @@ def calls(tokens: list[Token]) -> Iterator[tuple[list[str], list[list[Token]], i
                 own.append(t2)
         if own:
             args.append(own)
-        yield names, args, tokens[i - 1].line, k >= 0 and tokens[k].text == "new"
+        yield names, args, tokens[i - 1].line, tokens[k].text if k >= 0 else ""
 
 
 def imports(tokens: list[Token]) -> list[dict]:

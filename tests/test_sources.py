@@ -105,7 +105,7 @@ def test_prisma_and_code():
     assert parsers.prisma('datasource db {\n provider = "mysql"\n}\nmodel User {\n id Int\n @@map("users")\n}\nmodel Log {\n}') == {"provider": "mysql", "models": {"User": "users", "Log": "Log"}}
     t = parsers.code_tokens("import a, { b as c } from 'm'; export * from './n'; const x = require('k'); a.b(`t ${y} u`, 2); new Z()")
     assert [(i["kind"], i["module"], i["names"]) for i in parsers.imports(t)] == [("import", "m", [("a", "a"), ("b", "c")]), ("export", "./n", []), ("import", "k", [])]
-    assert [(n, len(a), new) for n, a, _, new in parsers.calls(t)] == [(["require"], 1, False), (["a", "b"], 2, False), (["Z"], 0, True)]
+    assert [(n, len(a), before) for n, a, _, before in parsers.calls(t)] == [(["require"], 1, "="), (["a", "b"], 2, ";"), (["Z"], 0, "new")]
     assert [x.value for x in t if x.kind == "tpl"] == ["t \0 u"]
 
 
@@ -225,3 +225,26 @@ def test_status_stream(spark, tmp_path):
         assert {(r["project_id"], r["status"]) for r in spark.sql("SELECT * FROM latest_status").collect()} == {(1, "COMPLETED"), (2, "FAILED")}
     finally:
         q.stop()
+
+
+def test_builders_clients_and_decorators(spark):
+    code = """@UseGuards(AdminGuard)
+@Controller('users')
+export class UserController {
+  @Get(':id')
+  @UseGuards(AuthGuard)
+  show(id) { return db.with('recent', q).selectFrom('recent').innerJoin('public.teams as t', 'a', 'b'); }
+  @Post()
+  make() { this.prisma.userAccount.create({}); db.updateTable('plans').set({}); db.selectFrom(name); }
+}
+class AuthGuard {}
+class AdminGuard {}
+"""
+    files_ = spark.createDataFrame([("src/u.ts", code), ("db/schema.prisma", 'datasource d {\n provider = "postgres"\n}\nmodel UserAccount {\n @@map("accounts")\n}\n'), ("package.json", '{"dependencies": {"mysql2": "1", "express": "4"}}'), ("x.ts", "import m from 'mongoose';")], "path string, text string")
+    e = named(extract.assemble(files_)[0])
+    want = {("u.ts", "CONTAINS", "GET /users/:id"), ("GET /users/:id", "ROUTES_TO", "show"), ("GET /users/:id", "AUTHENTICATED_BY", "AuthGuard"), ("GET /users/:id", "AUTHENTICATED_BY", "AdminGuard"), ("POST /users", "ROUTES_TO", "make"), ("POST /users", "AUTHENTICATED_BY", "AdminGuard"), ("u.ts", "READS_FROM", "teams"), ("u.ts", "WRITES_TO", "plans"), ("u.ts", "WRITES_TO", "accounts"), ("schema.prisma", "DEFINES", "accounts")}
+    assert want <= e, want - e
+    assert not any(b == "recent" for _, _, b in e) and ("POST /users", "AUTHENTICATED_BY", "AuthGuard") not in e
+    assert [tuple(r) for r in extract.database_provider(files_).collect()] == [("postgresql", "db/schema.prisma")]
+    assert [tuple(r) for r in extract.database_provider(files_.filter("path <> 'db/schema.prisma'")).collect()] == [("mysql", "package.json:mysql2")]
+    assert {r["framework"] for r in extract.frameworks(files_).collect()} == {"express", "mongoose"}
