@@ -1,5 +1,7 @@
 """Parsers, extraction, indexes and sinks on small fixtures."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,3 +250,12 @@ class AdminGuard {}
     assert [tuple(r) for r in extract.database_provider(files_).collect()] == [("postgresql", "db/schema.prisma")]
     assert [tuple(r) for r in extract.database_provider(files_.filter("path <> 'db/schema.prisma'")).collect()] == [("mysql", "package.json:mysql2")]
     assert {r["framework"] for r in extract.frameworks(files_).collect()} == {"express", "mongoose"}
+
+
+def test_configuration_query_takes_every_event(spark, small):
+    from quillgraph.plans.registry import QUERIES
+
+    got = Counter((r["file"], r["relationship"], r["matched"], r["line"]) for r in QUERIES["x08_configuration"](spark, small).collect())
+    ids = [r["event_id"] for r in spark.read.parquet(f"{small}/events.parquet").select("event_id").collect()]
+    assert max(ids) >= 500
+    assert got == Counter((f"c/e{i}.json", "CONTAINS", m, n) for i in ids for m, n in (("k", 1), ("deep.x", 3)))
