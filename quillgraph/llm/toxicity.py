@@ -2,8 +2,9 @@
 
 Folding: lower case, accents and look-alike letters to plain ones, digits and signs that stand for
 letters likewise (1 ! | and l all become i), other signs to blanks. The lexicon holds words and
-word stems, learned from labelled documents: a term's weight is its smoothed log odds. A stem
-stands for every word that begins with it. A hit inside an exception phrase (the word with the one
+word stems, learned from labelled documents: a term's weight is its smoothed log odds. How many toxic
+documents must hold a term follows from the share of toxic ones among the labelled: as many as chance
+would seldom bring together (``telling``). A stem stands for every word that begins with it. A hit inside an exception phrase (the word with the one
 before or after it, seen in clean documents but not in toxic ones) does not count. The hits' weight
 is divided by a slow function of length and mapped to 0..1 by a logistic curve fitted on the same
 rows.
@@ -145,8 +146,29 @@ def _terms_of(batches):
         yield pa.RecordBatch.from_arrays([pa.array([*terms, *clean]), pa.array([*kin, *[None] * len(clean)], pa.int64()), pa.array([*[0] * len(terms), *clean.values()], pa.int64())], ["term", "kin", "clean"])
 
 
+def telling(counts: dict[tuple[int, int], int], share: float, most_false: float = 0.1) -> set[tuple[int, int]]:
+    """Pairs (documents, toxic ones) whose terms are met by chance in one case of ten at most.
+
+    ``counts``: the number of terms by their documents and toxic documents. If labels fell on
+    documents by chance, each toxic with probability ``share``, a binomial tail of the terms in n
+    documents would be in t toxic ones or more; that many are set against those that are. Two toxic
+    documents can be copies, so three are the least.
+    """
+    out = set()
+    for n, t in counts:
+        if t >= 3:
+            tail = sum(math.comb(n, k) * share**k * (1 - share) ** (n - k) for k in range(t, n + 1))
+            same = [(u, c) for (m, u), c in counts.items() if m == n]
+            if tail * sum(c for _, c in same) <= most_false * sum(c for u, c in same if u >= t):
+                out.add((n, t))
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, fit_rows: int = 8192, most_terms: int = 4096, least_docs: int = 8, least_odds: float = 3.0) -> Lexicon:
-    """A lexicon from labelled rows (default: crc32 of the id's text, modulo 5, is not 0)."""
+    """A lexicon from labelled rows (default: crc32 of the id's text, modulo 5, is not 0).
+
+    ``least_docs`` toxic documents are enough for a term in any sample; fewer where they are telling.
+    """
     learn = crc_of_id() % 5 != 0 if learn is None else learn
     marked = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & learn).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)  # bounded: small enough to broadcast
@@ -158,7 +180,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, fit_row
         return Lexicon({})
     odds = F.log((F.col("t") + 0.5) / (n1 + 1.0)) - F.log((F.col("c") + 0.5) / (n0 + 1.0))
     counted = rows.mapInArrow(lean_batches(_terms_of), "term string, kin long, clean long").groupBy("term").agg(F.count_distinct("kin").alias("t"), F.sum("clean").alias("c"))
-    best = counted.withColumn("odds", odds).filter((F.col("t") >= least_docs) & (F.col("odds") >= least_odds) & (F.col("t") > 2 * F.col("c"))).orderBy(F.desc("t"), "term").limit(most_terms).collect()
+    counted = cut(counted)  # read twice; a row a term of fit_rows texts
+    few = counted.filter((F.col("t") < least_docs) & (F.col("t") + F.col("c") < 2 * least_docs)).groupBy((F.col("t") + F.col("c")).alias("n"), "t").count().collect()  # 2 * least_docs squared rows at most
+    enough = F.col("t") >= least_docs
+    for n, t in telling({(r["n"], r["t"]): r["count"] for r in few}, n1 / (n1 + n0)):
+        enough |= (F.col("t") == t) & (F.col("c") == n - t)
+    best = counted.withColumn("odds", odds).filter(enough & (F.col("odds") >= least_odds) & (F.col("t") > 2 * F.col("c"))).orderBy(F.desc("t"), "term").limit(most_terms).collect()
     held = {r["term"]: (r["odds"], r["t"]) for r in best}
     # A stem that stands for one longer term in nearly all its documents says no more than that term;
     # of the others, a longer term adds nothing where a stem of it is at least nearly as telling.

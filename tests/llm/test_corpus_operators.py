@@ -322,6 +322,24 @@ def test_toxicity_does_not_see_held_out_labels(spark, odd):
     assert scored.count() == odd.count() and scored.filter("text IS NULL AND predicted = 1").count() == 0
 
 
+def test_few_toxic_labels_teach_their_plain_words(spark, small):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    toxic = dict(rows_of(spark.read.parquet(f"{small}/labels.parquet"), "doc_id", "toxic"))
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, small).collect()}
+    plain = {"disgusting", "loser", "moron", "scum", "trash"}
+    rude = {i for i, t in rows_of(docs) if toxic.get(i) == 1 and plain & {w.decode().strip(".,;:!?") for w in words(t)}}
+    assert len(rude) >= 5 and not rude & kept
+    assert {i for i, y in toxic.items() if not y} & {i for i, _ in rows_of(docs)} <= kept
+
+
+def test_support_follows_the_share_of_toxic_rows():
+    counts = {(3, 0): 900, (3, 3): 20, (4, 0): 690, (4, 4): 12}
+    assert toxicity.telling(counts, 0.147) == {(4, 4)}
+    assert toxicity.telling(counts, 0.01) == {(3, 3), (4, 4)} and toxicity.telling(counts, 0.5) == set()
+    assert toxicity.telling({(2, 2): 5}, 1e-6) == set()
+
+
 # ---------------------------------------------------------------- language model
 
 
