@@ -1,9 +1,10 @@
 """Byte-level BPE on whole documents, and exact length counts.
 
-Encoding works on units: a run of non-blanks with the one space before it. No match of the split
-pattern reaches over the start of a unit, so a unit's ids do not depend on its neighbours, and a
-worker encodes each distinct unit once while its bounded cache holds it. Texts with runs of blanks
-are split by the pattern as a whole instead.
+Encoding works on units: what stands between spaces and newlines, with the one space before it. Where
+no two blanks of any kind (``\\s``) are neighbours, no match of the split pattern reaches over the start
+of a unit, so a unit's ids do not depend on its neighbours, and a worker encodes each distinct unit
+once while its bounded cache holds it. Texts with runs of blanks are split by the pattern as a whole
+instead.
 
 ``fold_native`` is the same fold as one Spark higher-order expression over a literal rank table.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 import struct
 from collections.abc import Callable, Iterable, Iterator
 
@@ -31,6 +33,8 @@ from .base import cut, lean_batches
 CACHE_UNITS = 500_000
 #: Byte length above which a word is merged with a heap instead of list scans.
 LONG_WORD = 64
+#: Two blanks side by side, of whatever kinds: a match may begin in one unit and end in the next.
+_RUN = re.compile(r"\s\s").search
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -152,7 +156,7 @@ class Encoder:
         new_tail: set[str] = set()
         new_head: set[str] = set()
         for x in texts:
-            if not x or "  " in x or " \n" in x or "\n " in x or "\n\n" in x or x.isspace() or any(k in x for k in self.special):
+            if not x or _RUN(x) or x.isspace() or any(k in x for k in self.special):
                 held.append(None)
                 continue
             lines = []

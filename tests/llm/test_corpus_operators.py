@@ -201,6 +201,21 @@ def test_fold_of_long_words_and_the_native_fold(spark):
     assert all(list(r["ids"]) == e.encode_ordinary(r["w"]) for r in df.collect())
 
 
+def test_blanks_of_any_kind_beside_each_other():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tokens.read_ranks(MULTI), special_tokens={})
+    rng = random.Random(4)
+    texts = ["Title\n\xa0\xa0Text follows", "a\n\t\tb c", "a\t \tb c", "x\xa0 \u3000y", "a\n\xa0b", "a\u2003\u2003\nb", "a\r\n\r\nb", "\x1c \x1cb", "\xa0", "a\tb", "a\u2028 b"]
+    texts += ["".join(rng.choice(["a", "bc", ".", "7", " ", "\n", "\t", "\r", "\xa0", "\u3000", "\x1c", "\x85"]) for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    own = [e.encode_ordinary(t) for t in texts]
+    ids = lambda blobs: [np.frombuffer(b, "<i4").tolist() for b in blobs]
+    assert ids(tokens.library_encoder(path, public_tokenizers.PATTERN).batch(texts)) == want
+    for make in (tokens.rank_encoder, tokens.fold_encoder):
+        assert ids(make(MULTI, public_tokenizers.PATTERN).batch(texts)) == own
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_token_files(odd, docs, kind):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
