@@ -35,11 +35,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents of which nothing is left go; ``n_chars`` follows the text.
     """
     carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    out = suffix_dedup.remove_repeats(docs, suffix_dedup.Params(length=100), keep_text=True, carry=carry)
-    text = F.when(F.col("n_removed") > 0, F.try_validate_utf8(F.col("kept").cast("string")))
-    whole = F.coalesce(text, F.make_valid_utf8(F.col("kept").cast("string")))
-    out = out.filter("n_removed < n_bytes OR n_bytes = 0").withColumn("_new", F.replace(whole, F.lit("�"), F.lit("")))
-    new = F.when(F.col("n_removed") > 0, F.col("_new")).otherwise(F.col("kept").cast("string"))
+    out = suffix_dedup.remove_repeats(docs, suffix_dedup.Params(length=100), keep_text=True, carry=carry, whole=True)
+    out = out.filter("n_removed < n_bytes OR n_bytes = 0")
+    new = F.col("kept").cast("string")
     own = {"doc_id": F.col("doc_id"), "text": new, "n_chars": F.length(new).cast("long")}
     return out.select(*[own.get(c, F.col(f"`_{c}`")).alias(c) for c in docs.columns])
 

@@ -331,7 +331,15 @@ def _judge(p: Params, shards: int):
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def _apply(p: Params, shards: int, keep_text: bool, carry: list[str]):
+def _whole(text: bytes, off: np.ndarray) -> bytes:
+    """What is left where a character with a removed byte goes whole."""
+    char = np.cumsum(np.frombuffer(text, np.uint8) & 0xC0 != 0x80)
+    hit = np.zeros(char[-1] + 1, bool)
+    hit[char[off]] = True
+    return np.frombuffer(text, np.uint8)[~hit[char]].tobytes()
+
+
+def _apply(p: Params, shards: int, keep_text: bool, carry: list[str], whole: bool = False):
     def run(t: pa.Table, answers: pa.Table) -> pa.Table:
         t = _sorted_table(t)
         ids, texts = t.column("doc_id").to_pylist(), t.column("text").to_pylist()
@@ -374,7 +382,7 @@ def _apply(p: Params, shards: int, keep_text: bool, carry: list[str]):
         n_removed, n_spans, sha, kept = [], [], [], []
         for d, text in enumerate(texts):
             g = gone.get(d)
-            left, spans, lost = text, 0, 0
+            left, spans, lost, off = text, 0, 0, None
             if g is not None:
                 off = np.cumsum(g[:-1]) > 0
                 lost = int(off.sum())
@@ -384,7 +392,7 @@ def _apply(p: Params, shards: int, keep_text: bool, carry: list[str]):
             n_removed.append(lost)
             n_spans.append(spans)
             sha.append(hashlib.sha256(left).hexdigest())
-            kept.append(left if keep_text else None)
+            kept.append(None if not keep_text else _whole(text, off) if whole and lost else left)
         return pa.table({
             **{f"_{c}": t.column(f"_{c}") for c in carry}, "doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array([len(x) for x in texts], pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
             "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "kept": pa.array(kept, pa.binary()),
@@ -393,11 +401,12 @@ def _apply(p: Params, shards: int, keep_text: bool, carry: list[str]):
     return run
 
 
-def remove_repeats(docs: DataFrame, params: Params | None = None, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, params: Params | None = None, keep_text: bool = False, carry: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept)``, one row per row of ``docs``.
 
     Columns named in ``carry`` come along as ``_<name>``. ``kept`` holds the remaining bytes where ``keep_text`` asks for them. They need not be valid
-    UTF-8: a removed stretch may begin or end inside a character.
+    UTF-8: a removed stretch may begin or end inside a character; with ``whole``, such characters are
+    not in ``kept``.
     """
     p = params or Params()
     n = chunk_count(text_bytes(docs), p.chunk)
@@ -409,4 +418,4 @@ def remove_repeats(docs: DataFrame, params: Params | None = None, keep_text: boo
     sent = grouped.cogroup(settled.groupBy("chunk")).applyInArrow(lean(_send(p, n)), pair)
     replies = sent.groupBy("shard").applyInArrow(lean(_judge(p, n)), back)
     schema = StructType([*(StructField(f"_{c}", docs.schema[c].dataType) for c in carry), *StructType.fromDDL(_RESULT).fields])
-    return grouped.cogroup(replies.groupBy("chunk")).applyInArrow(lean(_apply(p, n, keep_text, list(carry))), schema)
+    return grouped.cogroup(replies.groupBy("chunk")).applyInArrow(lean(_apply(p, n, keep_text, list(carry), whole)), schema)

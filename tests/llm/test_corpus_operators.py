@@ -161,6 +161,16 @@ def test_repeats_match_brute_force(odd, docs, params):
         assert Counter(got) == brute_repeats(rows_of(df), p.length)
 
 
+def test_replacement_characters_outside_repeats_stay(spark, small):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    passage = "".join(f"shared {i} " for i in range(20))
+    rows = [(1, "\ufffdé" + passage + "à"), (2, "a\ufffdb è" + passage + "á \ufffd end"), (3, "c\ufffd")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.cut_repeats(spark, docs, small).collect()}
+    # the passage repeats with the lead byte of the character after it, which goes whole
+    assert got == {1: (rows[0][1], len(rows[0][1])), 2: ("a\ufffdb è \ufffd end", 11), 3: ("c\ufffd", 2)}
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(1)
     for _ in range(200):
