@@ -439,10 +439,12 @@ def imports(tokens: list[Token]) -> list[dict]:
                 out.append({"kind": "import", "module": tokens[i + 2].value, "names": [], "line": t.line})
             continue
         names, k, module = [], i + 1, None
-        while k < len(tokens) and tokens[k].text != ";" and k - i < 400:
+        while k < len(tokens) and tokens[k].text != ";":
             if tokens[k].kind == "str":
                 module = tokens[k].value
                 break
+            if tokens[k].text == "}" and not (tokens[k + 1 : k + 2] and tokens[k + 1].text == "from"):
+                break
             if tokens[k].kind == "name" and tokens[k].text in ("const", "let", "var", "function", "class", "interface", "enum", "async", "abstract", "declare", "namespace") or tokens[k].text in ("=", "("):
                 break
             if tokens[k].kind == "name" and tokens[k].text not in ("type", "from", "as", "default", "import"):

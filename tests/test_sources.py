@@ -252,6 +252,14 @@ class AdminGuard {}
     assert {r["framework"] for r in extract.frameworks(files_).collect()} == {"express", "mongoose"}
 
 
+def test_long_import_lists_keep_their_module():
+    names = [f"n{i}" for i in range(500)]
+    for word in ("import", "export"):
+        got = parsers.imports(parsers.code_tokens(f"{word} {{ {', '.join(names)} }} from './m'\nconst x = 'y'"))
+        assert [(i["kind"], i["module"], len(i["names"])) for i in got] == [(word, "./m", 500)]
+    assert parsers.imports(parsers.code_tokens("export { a, b }\nuse\n'strict'")) == []
+
+
 def test_configuration_query_takes_every_event(spark, small):
     from quillgraph.plans.registry import QUERIES
 
