@@ -10,6 +10,7 @@ import tempfile
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -116,6 +117,17 @@ def lean_batches(function):
     return run
 
 
+def sliced(batches, some: int = 8 << 20, column: str = "text"):
+    """The batches in slices of about ``some`` bytes of a text column, of one row at least."""
+    for t in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(t.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < t.num_rows:
+            b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + some, side="right")))
+            yield t.slice(a, b - a)
+            a = b
+
+
 # ---------------------------------------------------------------- packed blocks
 
 

@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 import xxhash
@@ -27,10 +28,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .base import cut, lean_batches
+from .base import cut, lean_batches, sliced
 
 #: Distinct units that a worker keeps at most.
-CACHE_UNITS = 500_000
+CACHE_UNITS = 1_000_000
 #: Byte length above which a word is merged with a heap instead of list scans.
 LONG_WORD = 64
 #: Two blanks side by side, of whatever kinds: a match may begin in one unit and end in the next.
@@ -91,103 +92,105 @@ def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if live[i]]
 
 
+#: Signs that often follow a word; each is a match of its own where white space or nothing comes after it.
+SIGNS = frozenset(".,;:!?")
+
+
 class Encoder:
     """Text -> int32 ids as bytes.
 
     ``pieces`` encodes matches of the split pattern on their own, as int32 bytes. Texts that hold one
-    of ``special`` go to ``whole`` as they are. Units after a space, units at the start of a line and
-    matches of odd texts have a cache each; a cache that is half full becomes the old one, whose
-    entries are taken over as they are met again, so memory is bounded and frequent units stay.
+    of ``special`` go to ``whole`` as they are. A unit is what follows a space, or a line break and
+    what follows it; a batch's distinct units are found by Arrow and looked up once. A unit cache
+    that is half full becomes the old one, whose entries are taken over as they are met again, so
+    memory is bounded and frequent units stay.
     """
 
     def __init__(self, pattern: str, pieces: Callable[[list[str]], Iterable[bytes]], whole: Callable[[str], bytes] | None = None, special: tuple[str, ...] = ()):
         self.split = regex.compile(pattern).findall
         self.pieces, self.whole, self.special = pieces, whole, special
-        self.tail: dict[str, bytes] = {}
-        self.old_tail: dict[str, bytes] = {}
-        self.head: dict[str, bytes] = {}
-        self.odd: dict[str, bytes] = {}
-
-    def _learn(self, cache: dict[str, bytes], units: set[str], prefix: str) -> None:
-        """Fills a cache; words, and words with one sign after them, are split by hand."""
-        tail, odd = self.tail, self.odd
-        words: set[str] = set()  # of letters, after a space
-        matches: set[str] = set()
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}  # matches that are no words after a space
+
+    def _know(self, matches: Iterable[str]) -> None:
+        fresh = [p for p in matches if p not in self.odd]
+        self.odd.update(zip(fresh, self.pieces(fresh), strict=True))
+
+    def _learn(self, units: list[str]) -> None:
+        """Fills the cache; words, and words with one sign after them, are split by hand."""
+        known, odd, split = self.known, self.odd, self.split
+        words: set[str] = set()
+        signed: list[str] = []
         parts: dict[str, list[str]] = {}
-        simple: list[str] = []
         for u in units:
-            if prefix and u.isalpha():
+            if u.isalpha():
                 words.add(u)
-            elif prefix and len(u) > 1 and u[-1] in ".,;:!?" and u[:-1].isalpha():
-                simple.append(u)
+            elif u[-1:] in SIGNS and u[:-1].isalpha():
+                signed.append(u)
                 words.add(u[:-1])
-                matches.add(u[-1])
+            elif u[:1] == "\n":
+                parts[u] = ["\n", *split(u[1:])]
             else:
-                parts[u] = own = self.split(prefix + u)
-                matches.update(own)
-        old = self.old_tail
-        fresh = []
-        for w in words:
-            if w not in tail:
-                if w in old:
-                    tail[w] = old[w]
-                else:
-                    fresh.append(w)
-        tail.update(zip(fresh, self.pieces([f" {w}" for w in fresh]), strict=True))
-        self._know(matches)
-        for u in simple:
-            tail[u] = tail[u[:-1]] + odd[u[-1]]
+                parts[u] = split(f" {u}")
+        fresh = [w for w in words if w not in known]
+        known.update(zip(fresh, self.pieces([f" {w}" for w in fresh]), strict=True))
+        self._know({u[-1] for u in signed}.union(*parts.values()))
+        for u in signed:
+            known[u] = known[u[:-1]] + odd[u[-1]]
         for u, own in parts.items():
-            cache[u] = b"".join([odd[p] for p in own])
-
-    def _know(self, matches: Iterable[str]) -> None:
-        fresh = [p for p in matches if p not in self.odd]
-        self.odd.update(zip(fresh, self.pieces(fresh), strict=True))
+            known[u] = b"".join([odd[p] for p in own])
+
+    def _ids(self, units: list[str]) -> list[bytes]:
+        """Ids of distinct units."""
+        known, old = self.known, self.old
+        got = list(map(known.get, units))
+        missed = [i for i, g in enumerate(got) if g is None]
+        for i in missed:
+            if (g := old.get(units[i])) is not None:
+                got[i] = known[units[i]] = g
+        missed = [i for i in missed if got[i] is None]
+        self._learn([units[i] for i in missed])
+        for i in missed:
+            got[i] = known[units[i]]
+        return got
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.tail) > CACHE_UNITS // 2:
-            self.old_tail, self.tail = self.tail, {}
-        for cache in (self.head, self.odd):
-            if len(cache) > CACHE_UNITS // 8:
-                cache.clear()
+        if len(self.known) > CACHE_UNITS // 2:
+            self.old, self.known = self.known, {}
+        if len(self.odd) > CACHE_UNITS // 8:
+            self.odd.clear()
         self._know(["\n"])
-        tail, head, line = self.tail, self.head, self.odd["\n"]
-        held: list = []
-        new_tail: set[str] = set()
-        new_head: set[str] = set()
-        for x in texts:
-            if not x or _RUN(x) or x.isspace() or any(k in x for k in self.special):
-                held.append(None)
+        out = [b""] * len(texts)
+        plain: list[int] = []
+        for i, x in enumerate(texts):
+            if not x:
                 continue
-            lines = []
-            for part in x.split("\n"):
-                first, *units = part.split(" ")
-                got = list(map(tail.get, units))
-                missed = [i for i, g in enumerate(got) if g is None] if None in got else ()
-                new_tail.update([units[i] for i in missed])
-                if first not in head:
-                    new_head.add(first)
-                lines.append((first, units, got, missed))
-            held.append(lines)
-        blank = {u for u in new_tail | new_head if u and u.isspace()}  # other blanks on their own
-        self._learn(tail, new_tail, " ")
-        self._learn(head, new_head, "")
-        out = []
-        for x, lines in zip(texts, held, strict=True):
-            if lines is not None and not (blank and any(f in blank or not blank.isdisjoint(u) for f, u, _, _ in lines)):
-                for _, units, got, missed in lines:
-                    for i in missed:
-                        got[i] = tail[units[i]]
-                out.append(line.join([head[f] + b"".join(got) for f, _, got, _ in lines]))
-            elif x and any(k in x for k in self.special):
-                out.append(self.whole(x))
-            else:
-                parts = self.split(x or "")
+            if any(k in x for k in self.special):
+                out[i] = self.whole(x)
+            elif _RUN(x) or x.isspace():
+                parts = self.split(x)
                 self._know(set(parts))
-                out.append(b"".join([self.odd[p] for p in parts]))
-        for u in blank:
-            tail.pop(u, None)
-            head.pop(u, None)
+                out[i] = b"".join([self.odd[p] for p in parts])
+            else:
+                plain.append(i)
+        if not plain:
+            return out
+        # Every text begins with a line break of its own, whose ids are left out again.
+        marked = ["\n" + texts[i].replace("\n", " \n") for i in plain]
+        units = pc.split_pattern(pa.array([" ".join(marked)], pa.large_string()), " ").values.dictionary_encode()
+        ids = self._ids(units.dictionary.to_numpy(zero_copy_only=False).tolist())
+        at = units.indices.to_numpy()
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool = np.frombuffer(b"".join(ids), np.int32)
+        start = np.cumsum(size) - size
+        long = size[at]
+        end = np.cumsum(long)
+        flat = pool[np.repeat(start[at] - end + long, long) + np.arange(end[-1])].tobytes()
+        cuts = 4 * np.r_[0, end[np.cumsum([m.count(" ") + 1 for m in marked]) - 1]]
+        skip = len(self.odd["\n"])
+        for i, a, b in zip(plain, cuts.tolist(), cuts[1:].tolist(), strict=False):
+            out[i] = flat[a + skip : b]
         return out
 
 
@@ -216,35 +219,47 @@ def fold_encoder(path: str, pattern: str) -> Encoder:
     return Encoder(pattern, lambda pieces: [_bytes(fold_word(w.encode(), ranks)) for w in pieces])
 
 
+def _joined(words: list[str], ids_of: Callable[[str], np.ndarray], size: np.ndarray) -> Iterator[bytes]:
+    """Ids of words that begin with a space: many at once, since a split parts them again and the ids' byte lengths tell where."""
+    for a in range(0, len(words), 1000):
+        own = words[a : a + 1000]
+        ids = ids_of("".join(own))
+        ends = 4 * (np.searchsorted(np.cumsum(size[ids]), np.cumsum([len(w.encode()) for w in own])) + 1)
+        raw, at = ids.astype("<i4").tobytes(), 0
+        for end in ends.tolist():
+            yield raw[at:end]
+            at = end
+
+
+def _pieces(ids_of: Callable[[str], np.ndarray], each: Callable[[list[str]], Iterable[bytes]], size: np.ndarray) -> Callable[[list[str]], list[bytes]]:
+    """Words after a space joined, other matches by themselves."""
+
+    def pieces(fresh: list[str]) -> list[bytes]:
+        out: list = [None] * len(fresh)
+        plain = [i for i, p in enumerate(fresh) if p[:1] == " " and p[1:].isalpha()]
+        for i, ids in zip(plain, _joined([fresh[i] for i in plain], ids_of, size), strict=True):
+            out[i] = ids
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, each([fresh[i] for i in rest]) if rest else [], strict=True):
+            out[i] = ids
+        return out
+
+    return pieces
+
+
 @_once
 def library_encoder(path: str, pattern: str) -> Encoder:
     """The tokenizers library on a byte-level tokenizer file, without special tokens added.
 
-    ``pattern`` is the split that the file's byte-level step makes. Words after a space are handed
-    over joined, many at once: the split parts them again, and the ids' byte lengths tell where.
+    ``pattern`` is the split that the file's byte-level step makes.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     t = Tokenizer.from_file(path)
     size = np.zeros(t.get_vocab_size(), np.int64)
     for piece, i in t.get_vocab(with_added_tokens=False).items():
         size[i] = len(piece)  # a character of the file's alphabet stands for a byte
-
-    def pieces(fresh: list[str]) -> list[bytes]:
-        out: list = [None] * len(fresh)
-        plain = [i for i, p in enumerate(fresh) if len(p) > 1 and p[0] == " " and p[1:].isalpha()]
-        for a in range(0, len(plain), 1000):
-            own = plain[a : a + 1000]
-            ids = np.array(t.encode_batch_fast(["".join([fresh[i] for i in own])], add_special_tokens=False)[0].ids, np.int32)
-            ends = np.searchsorted(np.cumsum(size[ids]), np.cumsum([len(fresh[i].encode()) for i in own])) + 1
-            raw, at = ids.tobytes(), 0
-            for i, end in zip(own, (4 * ends).tolist(), strict=True):
-                out[i] = raw[at:end]
-                at = end
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(rest, t.encode_batch_fast([fresh[i] for i in rest], add_special_tokens=False) if rest else [], strict=True):
-            out[i] = _bytes(e.ids)
-        return out
-
+    many = lambda texts: t.encode_batch_fast(texts, add_special_tokens=False)
+    pieces = _pieces(lambda x: np.array(many([x])[0].ids, np.int32), lambda rest: [_bytes(e.ids) for e in many(rest)], size)
     special = tuple(x.content for x in t.get_added_tokens_decoder().values())
     return Encoder(pattern, pieces, lambda x: _bytes(t.encode(x, add_special_tokens=False).ids), special)
 
@@ -252,17 +267,19 @@ def library_encoder(path: str, pattern: str) -> Encoder:
 @_once
 def rank_encoder(path: str, pattern: str) -> Encoder:
     """The tiktoken library on a rank file, without special tokens."""
-    t = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
-    return Encoder(pattern, lambda pieces: [_bytes(t.encode_ordinary(x)) for x in pieces])
+    ranks = read_ranks(path)
+    t = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    size = np.zeros(max(ranks.values()) + 1, np.int64)
+    for piece, i in ranks.items():
+        size[i] = len(piece)
+    return Encoder(pattern, _pieces(lambda x: np.array(t.encode_ordinary(x), np.int32), lambda rest: [_bytes(t.encode_ordinary(x)) for x in rest], size))
 
 
-def encoded(batches: Iterator[pa.RecordBatch], make: Callable[[], Encoder], some: int = 256) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with the ids of their texts."""
+def encoded(batches: Iterator[pa.RecordBatch], make: Callable[[], Encoder], some: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches, of about ``some`` bytes of text, with the ids of their texts."""
     encoder = make()
-    for t in batches:
-        for a in range(0, t.num_rows, some):
-            part = t.slice(a, some)
-            yield part, encoder.batch([x or "" for x in part.column("text").to_pylist()])
+    for part in sliced(batches, some):
+        yield part, encoder.batch([x or "" for x in part.column("text").to_pylist()])
 
 
 def _list(blobs: list[bytes]) -> pa.ListArray:
