@@ -201,6 +201,28 @@ class WordHasher:
         return np.array(got, U64)
 
 
+def word_codes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased words (runs without x20, x09-x0D) of texts: each as a number, the numbers' 64-bit hashes, and how many words a text has.
+
+    Texts are lowered in A-Z only and split by Arrow, so Python meets each distinct word of the column once.
+    """
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column.cast(pa.large_string()), "")))
+    found = parts.flatten().dictionary_encode()
+    words = found.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+    codes, sizes = found.indices.to_numpy().astype(np.int64), np.diff(parts.offsets.to_numpy())
+    if b"" in words:  # blanks at the ends of a text
+        none = words.index(b"")
+        kept = codes != none
+        upto = np.r_[0, np.cumsum(kept)]
+        sizes = np.diff(upto[np.r_[0, np.cumsum(sizes)]])
+        codes = codes[kept]
+        codes -= codes > none
+        words.pop(none)
+    return codes, np.fromiter(map(xxhash.xxh64_intdigest, words), U64, len(words)), sizes.astype(np.int64)
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash, in place on a fresh array."""
     h = h ^ (h >> U64(30))

@@ -54,7 +54,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Backoff bigram scores; one seventh of the ids is held out of learning."""
+    """Backoff scores over one to three words; one seventh of the ids is held out of learning."""
     return lm.backoff_scores(_documents(spark, sf_dir)).drop("prior")
 
 
