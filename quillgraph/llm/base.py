@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import struct
-import tempfile
 
 import numpy as np
 import pandas as pd
@@ -19,8 +18,6 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 #: Bytes of text that one chunk of documents holds on average; a chunk is what one Python call sees.
 CHUNK_BYTES = 8 << 20
-#: Words kept by a worker's hash cache before it starts anew, so that memory stays bounded.
-CACHE_WORDS = 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,16 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``).
-
-    A temporary folder stands in only where the setting is absent and the master is local.
-    """
+    """The folder all executors share: ``spark.checkpoint.dir``, and where it is unset a folder of the warehouse."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = own.get() if own.isDefined() else "file://" + tempfile.mkdtemp(prefix="quill-")
+        found = own.get() if own.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -169,38 +161,9 @@ def shares(keys: np.ndarray, shards: int, bits: int = 64):
             yield int(shard[a]), slice(a, b)
 
 
-def texts_of(t: pa.Table | pa.RecordBatch, name: str = "text") -> list[bytes]:
-    """The column as UTF-8 bytes, null as the empty text."""
-    col = t.column(name)
-    return [x or b"" for x in col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()]
-
-
 # ---------------------------------------------------------------- words
 
 
-class WordHasher:
-    """64-bit hashes of lower-cased words (runs without x20, x09-x0D); a bounded cache spares repeats."""
-
-    def __init__(self, limit: int = CACHE_WORDS):
-        self.cache: dict[bytes, int] = {}
-        self.limit = limit
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        words = text.lower().split()  # bytes: lower() takes A-Z only, split() the six ASCII blanks
-        if not words:
-            return np.zeros(0, U64)
-        cache = self.cache
-        got = [cache.get(w) for w in words]
-        if None in got:
-            if len(cache) > self.limit:
-                cache.clear()
-            for i, g in enumerate(got):
-                if g is None:
-                    w = words[i]
-                    got[i] = cache[w] = xxhash.xxh64_intdigest(w)
-        return np.array(got, U64)
-
-
 def word_codes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased words (runs without x20, x09-x0D) of texts: each as a number, the numbers' 64-bit hashes, and how many words a text has.
 

@@ -8,10 +8,12 @@ tables are the ``bands**2`` pairs of one hash from either collection, so ``bands
 1. Rows with equal sets form a class; everything below runs on class representatives.
 2. Buckets of the tables with the same members are looked at once. Members are compared by a
    one-permutation sketch: first each with its buckets' least members, which labels most of them;
-   then all with differing labels inside a bucket, in tiles of at most ``tile`` x ``tile``. A tile
-   returns links between labels, a forest and never the pairs themselves.
-3. Components of those forests are candidate clusters. In each cluster every pair is decided on
-   the full sets, again tile by tile, and a tile returns a spanning forest of true links.
+   then, where a bucket has several labels, those outside its commonest label with all, in tiles of
+   at most ``tile`` x ``tile``. A tile returns links between labels, a forest and never the pairs.
+3. Components of those forests are candidate clusters, whose links are confirmed on the full sets.
+   In a cluster of more than ``verify_tile`` members, each is first compared with the least one, in
+   groups of that size; then those that have no such link with all, again in tiles. A tile returns
+   a spanning forest of true links.
 4. Components of the true links are the result.
 
 No bucket, cluster or partner list is capped. Memory of a task is bounded by two tile sides.
@@ -26,10 +28,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import U64, WordHasher, cut, lean, lean_batches, mix64, texts_of
+from .base import U64, cut, lean, lean_batches, mix64, sliced, word_codes
 from .components import components
 
 BINS = 128
@@ -88,13 +90,20 @@ def band_hashes(s: np.ndarray, p: Params) -> np.ndarray:
     return acc.view(np.int64)
 
 
+def _sets(texts: pa.Array | pa.ChunkedArray, p: Params):
+    """Each text's sorted distinct shingle hashes."""
+    codes, hashes, sizes = word_codes(texts)
+    words, at = hashes[codes], 0
+    for n in sizes.tolist():
+        yield shingle_set(words[at : at + n], p.shingle)
+        at += n
+
+
 def _signer(p: Params):
     def run(batches):
-        words = WordHasher()
-        for t in batches:
+        for t in sliced(batches):
             n, fp, bands, sk = [], [], [], []
-            for raw in texts_of(t):
-                s = shingle_set(words(raw), p.shingle)
+            for s in _sets(t.column("text"), p):
                 n.append(len(s))
                 fp.append(xxhash.xxh3_128_digest(s.tobytes()))
                 bands.append(band_hashes(s, p).tolist() if len(s) else [])
@@ -127,9 +136,16 @@ class _Union:
 
 
 def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of a tile's two sides; the same rows twice on the diagonal."""
-    block, t1, t2 = (t.column(c).to_numpy() for c in ("block", "t1", "t2"))
-    return np.flatnonzero(block == t1[0]), np.flatnonzero(block == t2[0])
+    """Row numbers of a tile's two sides; a row may be on both."""
+    return np.flatnonzero(t.column("asks").to_numpy()), np.flatnonzero(t.column("told").to_numpy())
+
+
+def _known(label: np.ndarray, u: _Union) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct labels and a row of each; rows with one label are joined."""
+    labels, heads, of = np.unique(label, return_index=True, return_inverse=True)
+    for i, k in enumerate(of.tolist()):
+        u.join(int(heads[k]), i)
+    return labels, heads
 
 
 def _stars(ids: np.ndarray, u: _Union, at: np.ndarray | None = None) -> pa.Table:
@@ -167,20 +183,11 @@ def _tile_estimates(p: Params):
 
     def run(t: pa.Table) -> pa.Table:
         n, sk = t.column("n").to_numpy(), _sketches(t, "sketch")
-        labels, label_of = np.unique(t.column("label").to_numpy(), return_inverse=True)
         left, right = _sides(t)
         u = _Union(len(n))
-        if len(labels) == 1:
-            return _stars(labels[:0], _Union(0))
-        heads = np.full(len(labels), -1, np.int64)
-        for i, k in enumerate(label_of.tolist()):
-            if heads[k] < 0:
-                heads[k] = i
-            else:
-                u.join(int(heads[k]), i)
+        labels, heads = _known(t.column("label").to_numpy(), u)
         for i in left:
-            own = right[right > i] if t.column("t1")[0] == t.column("t2")[0] else right
-            own = own[(100 * np.minimum(n[own], n[i]) >= p.percent * np.maximum(n[own], n[i]))]
+            own = right[(100 * np.minimum(n[right], n[i]) >= p.percent * np.maximum(n[right], n[i]))]
             if len(own):
                 own = own[u.roots(own) != u.find(int(i))]
             if len(own):
@@ -197,14 +204,13 @@ def _tile_links(p: Params):
         sets = [np.frombuffer(x, U64) for x in t.column("shingles").to_pylist()]
         size = np.array([len(s) for s in sets], np.int64)
         left, right = _sides(t)
-        same = bool(t.column("t1")[0] == t.column("t2")[0])
         _, dense = np.unique(np.concatenate(sets), return_inverse=True)
         at = np.r_[0, np.cumsum(size)]
         here = np.zeros(int(dense.max()) + 1, bool)
         u = _Union(len(ids))
+        _known(t.column("label").to_numpy(), u)
         for i in left:
-            own = right[right > i] if same else right
-            own = own[(100 * np.minimum(size[own], size[i]) >= p.percent * np.maximum(size[own], size[i]))]
+            own = right[(100 * np.minimum(size[right], size[i]) >= p.percent * np.maximum(size[right], size[i]))]
             if len(own):
                 own = own[u.roots(own) != u.find(int(i))]
             if not len(own):
@@ -223,20 +229,28 @@ def _tile_links(p: Params):
 
 def _set_reader(p: Params):
     def run(batches):
-        words = WordHasher()
-        for t in batches:
-            sets = [shingle_set(words(raw), p.shingle).tobytes() for raw in texts_of(t)]
-            yield pa.RecordBatch.from_arrays([t.column("doc_id"), pa.array(sets, pa.binary())], ["id", "shingles"])
+        for t in sliced(batches):
+            yield pa.RecordBatch.from_arrays([t.column("doc_id"), pa.array([s.tobytes() for s in _sets(t.column("text"), p)], pa.binary())], ["id", "shingles"])
 
     return run
 
 
-def _tiles(rows: DataFrame, group: str, count: str, side: int) -> DataFrame:
-    """Each row once for every tile of its group that it takes part in."""
-    blocks = F.ceil(F.col(count) / F.lit(side)).cast("int")
-    own = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", group), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("t1"), F.greatest(o, F.col("block")).alias("t2")))
-    return own.withColumn("pair", F.explode(pairs)).select("*", "pair.t1", "pair.t2").drop("pair", "blocks")
+def _tiles(rows: DataFrame, group: str, side: int) -> DataFrame:
+    """Each row (``id``, ``label``) once for every tile ``t1, t2`` of its group that it takes part in.
+
+    Rows outside their group's commonest label ask, all are told: tile (i, j) sets the i-th block of
+    those that ask against the j-th block of all. Groups of one label have no tile.
+    """
+    sizes = rows.groupBy(group, "label").agg(F.count("*").alias("k")).groupBy(group).agg(F.sum("k").alias("c"), F.max(F.struct("k", (-F.col("label")).alias("least"))).alias("most"))
+    sizes = sizes.select(group, "c", F.col("most.k").alias("k"), (-F.col("most.least")).alias("major")).filter("c > k")
+    blocks = lambda n: F.ceil(n / F.lit(side)).cast("int")
+    own = rows.join(sizes, group).withColumn("asking", blocks(F.col("c") - F.col("k"))).withColumn("all", blocks(F.col("c")))
+    own = own.withColumn("minor", F.col("label") != F.col("major")).withColumn("i", F.pmod(F.xxhash64("id", group), F.col("asking")).cast("int")).withColumn("j", F.pmod(F.xxhash64(group, "id"), F.col("all")).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    tile = lambda t1, t2, asks, told: F.struct(t1.alias("t1"), t2.alias("t2"), asks.alias("asks"), told.alias("told"))
+    told = F.transform(upto("asking"), lambda o: tile(o, F.col("j"), F.col("minor") & (o == F.col("i")), F.lit(True)))
+    asks = F.transform(F.filter(upto("all"), lambda o: F.col("minor") & (o != F.col("j"))), lambda o: tile(F.col("i"), o, F.lit(True), F.lit(False)))
+    return own.withColumn("tile", F.explode(F.concat(told, asks))).select(*rows.columns, "tile.*")
 
 
 def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
@@ -263,16 +277,22 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     led = members.filter("a < id").select("a", "id").distinct().join(sketches.select("id", "sketch"), "id").join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a")
     led = cut(led.select("a", "id", "sketch_a", "sketch").mapInArrow(_leader_estimates(p), "a long, b long"))
     labels = led.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label"))
-    labelled = members.filter("c > 2").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    tiles = _tiles(labelled, "key", "c", p.tile).join(sketches, "id").select("key", "t1", "t2", "block", "label", "n", "sketch")
+    labelled = members.filter("c > 2").select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    tiles = _tiles(labelled, "key", p.tile).join(sketches, "id").select("key", "t1", "t2", "asks", "told", "label", "n", "sketch")
     near = led.union(tiles.groupBy("key", "t1", "t2").applyInArrow(_tile_estimates(p), "a long, b long"))
     clusters = components(near)
 
     sized = clusters.join(clusters.groupBy("component").agg(F.count("*").alias("c")), "component")
+    groups = F.ceil(F.col("c") / F.lit(p.verify_tile)).cast("int")
     wanted = docs.join(clusters.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").filter("doc_id IS NOT NULL").mapInArrow(lean_batches(_set_reader(p)), "id long, shingles binary").filter("length(shingles) > 0")
-    tiles = _tiles(sized, "component", "c", p.verify_tile).join(wanted, "id")
-    links = tiles.groupBy("component", "t1", "t2").applyInArrow(lean(_tile_links(p)), "a long, b long")
-    final = components(links.union(tied))
+    # Large clusters: the least member goes to each group and is the one that asks there.
+    leads = F.col("id") == F.col("component")
+    own = F.when(leads, F.sequence(F.lit(0), groups - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), groups).cast("int")))
+    led = sized.filter(F.col("c") > p.verify_tile).select("id", "component", F.col("id").alias("label"), leads.alias("asks"), (~leads).alias("told"), F.explode(own).alias("t1"))
+    led = cut(led.join(wanted, "id").groupBy("component", "t1").applyInArrow(lean(_tile_links(p)), "a long, b long"))
+    rest = clusters.join(led.select(F.col("b").alias("id"), F.col("a").alias("label")), "id", "left").select("component", "id", F.coalesce("label", "id").alias("label"))
+    links = _tiles(rest, "component", p.verify_tile).join(wanted, "id").groupBy("component", "t1", "t2").applyInArrow(lean(_tile_links(p)), "a long, b long")
+    final = components(led.union(links).union(tied))
 
     labelled = classes.join(final, "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
     lone = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
@@ -284,12 +304,16 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
 def one_of_each(docs: DataFrame, params: Params | None = None) -> DataFrame:
     """The rows of ``docs`` that stay: of every group of near-duplicates the one of least doc_id.
 
-    Rows without a ``doc_id`` stay; of rows that repeat a ``doc_id`` the least text stays.
+    Rows without a ``doc_id`` stay. Where ids repeat, rows with different texts are different
+    documents, of which those of a group go but the first by id and text; equal rows are one document.
     """
-    kept = near_duplicates(docs, params).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     total, different = docs.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
-    out = docs.join(kept, "doc_id", "left_semi")
-    if total > different:
-        first = Window.partitionBy("doc_id").orderBy("text")
-        out = out.withColumn("_row", F.row_number().over(first)).filter("_row = 1").drop("_row")
+    held = docs.filter("doc_id IS NOT NULL")
+    if total == different:
+        kept = near_duplicates(docs, params).filter("kept AND doc_id IS NOT NULL").select("doc_id")
+        out = docs.join(kept, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    else:
+        texts = cut(held.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).distinct().orderBy("_id", "_text").withColumn("_node", F.monotonically_increasing_id()))
+        kept = near_duplicates(texts.select(F.col("_node").alias("doc_id"), F.col("_text").alias("text")), params).filter("kept").select(F.col("doc_id").alias("_node"))
+        out = held.dropDuplicates(["doc_id", "text"]).join(texts.join(kept, "_node", "left_semi"), (F.col("doc_id") == F.col("_id")) & F.col("text").eqNullSafe(F.col("_text")), "left_semi")
     return out.union(docs.filter("doc_id IS NULL"))
