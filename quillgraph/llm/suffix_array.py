@@ -1,17 +1,20 @@
 """Suffix arrays by induced sorting and permuted common prefixes, vectorised over whole buckets.
 
 ``suffix_array`` classifies suffixes, sorts the leftmost-smaller (LMS) substrings by one induced
-pass, names them, orders the string of names, and induces the full order from it. The induced
-passes handle one first-symbol bucket at a time; a bucket's members that induce into the same
-bucket go in waves, so the work is linear and free of per-suffix Python steps. The string of names
-has a large alphabet, where buckets are too small for that; it is ordered by doubling over the
-names that still tie.
+pass, names them, orders the string of names recursively, and induces the full order from it. The
+induced passes handle one first-symbol bucket at a time; a bucket's members that induce into the
+same bucket go in waves, so the work is linear and free of per-suffix Python steps. Where a string
+of names has more than ``FEW_NAMES`` different ones, buckets are too small for that; it is ordered by
+doubling over the names that still tie.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Different names up to which the string of names is sorted by a further induced pass.
+FEW_NAMES = 1 << 11
+
 
 def suffix_types(t: np.ndarray) -> np.ndarray:
     """True for S-type positions; the last symbol must be the unique least one."""
@@ -128,7 +131,11 @@ def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     names = np.cumsum(~same) - 1
     reduced = np.empty(len(lms), np.int64)
     reduced[k] = names
-    sorted_lms = ordered if names[-1] + 1 == len(lms) else lms[_doubling(reduced)]
+    different = int(names[-1]) + 1
+    if different == len(lms):
+        return _induce(t, s_type, ordered, sigma)
+    # The last name is that of the last symbol alone, which is the least and unique.
+    sorted_lms = lms[suffix_array(reduced, different) if different <= FEW_NAMES else _doubling(reduced)]
     return _induce(t, s_type, sorted_lms, sigma)
 
 

@@ -5,8 +5,9 @@ anchor; equal windows have equal anchors, so all places of a repeated string mee
 its anchor whatever document they lie in. Runs of windows with one anchor travel together.
 
 1. Chunks of documents, in ascending order of ids, send the anchors and text hashes of their runs
-   to shards. Where an anchor has one text in the whole corpus, the shard knows all there is to
-   know: its windows repeat as a whole or not at all, and the first chunk with it keeps one.
+   to shards. Where an anchor has one text in the whole corpus, by 64 bits of the anchor and 64 of
+   the text, the shard knows all there is to know: its windows repeat as a whole or not at all, and
+   the first chunk with it keeps one.
 2. Texts of the other anchors follow, each distinct text once per chunk. A shard concatenates its
    distinct texts, builds their suffix array by induced sorting and the permuted common prefixes,
    and groups the windows that agree on ``length`` bytes. In each group the earliest place stays;
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -41,8 +43,6 @@ from .suffix_array import common_prefixes, suffix_array
 _BASE = 0x9E3779B97F4A7C15
 _STEP = 1 << 20
 _MAX = np.iinfo(np.uint64).max
-#: A text's hash only tells texts of one anchor apart; 48 bits of it travel.
-_TEXT = U64((1 << 48) - 1)
 
 
 class Params:
@@ -98,7 +98,8 @@ def runs_of(texts: list[bytes], p: Params) -> tuple[np.ndarray, ...]:
     wide = p.length - p.gram + 1
     sizes = np.array([len(x) for x in texts], np.int64)
     for a, b in _batches(sizes):
-        data = np.frombuffer(b"".join(texts[a:b]), np.uint8)
+        joined = b"".join(texts[a:b])
+        data = np.frombuffer(joined, np.uint8)
         n = len(data)
         if n < p.length:
             continue
@@ -125,7 +126,7 @@ def runs_of(texts: list[bytes], p: Params) -> tuple[np.ndarray, ...]:
         order = np.argsort(value, kind="stable")
         twice = (value[order][1:] == value[order][:-1]) & (np.diff(place[order]) < p.length)
         flag = np.isin(anchor, value[order][1:][twice]) if twice.any() else np.zeros(len(anchor), bool)
-        text = mix64((total[end] - total[first]) * down[first] + count.astype(U64)) & _TEXT
+        text = np.fromiter((xxhash.xxh3_64_intdigest(joined[x:y]) for x, y in zip(first.tolist(), end.tolist(), strict=True)), U64, len(first))
         found.append((doc[first], first - starts[doc[first] - a], count, mix64(anchor), text, flag))
     if not found:
         z = np.zeros(0, np.int64)
@@ -158,13 +159,11 @@ def _sorted_docs(t: pa.Table) -> tuple[list, list[bytes]]:
 
 
 def _planes(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
 def _join_planes(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(6, -1).T
-    return out.view(U64).ravel()
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(U64).ravel()
 
 
 def _by_shard(h: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
