@@ -10,7 +10,10 @@ its own; one row per block is summed for the offsets.
 
 Tokens are runs without x20 and x09-x0D. Null text counts as empty; a null source is the source
 ''; a null ``doc_id`` hashes like the empty text. Sources without tokens have no weight: their
-documents come once if ``whole`` is set, else not at all. Repeated rows are separate documents.
+documents come once if ``whole`` is set, else not at all. Repeated rows are separate documents. Ties in
+the order are broken by block, id and length. A text of any length is one document of its block; the
+tables that are sorted hold counts, never texts. An empty table has no rows. Further columns are
+ignored by ``mix`` and kept by ``mixed_documents``, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from .base import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 LEVELS, ROUNDS = 4, 10
+#: Bits of a block's place that are summed apart, so that no task sorts all blocks of a source.
+STRATUM_SHIFT = 50
 #: Tables of up to so many sources are broadcast; larger ones meet the documents in a shuffled join.
 FEW_SOURCES = 10_000
 
@@ -96,16 +101,21 @@ def mix(docs: DataFrame, entropy_share: float = 0.97, max_repeats: float = 4.0,
     """
     sized = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), token_count().alias("n_tokens"))
     sized = cut(sized)
-    sources = sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
+    sources = cut(sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens")))  # read by every job of the bisection
     _, weights = mixture(sources, entropy_share, max_repeats, whole)
     blocks = F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.lit(block_tokens))).cast("long")
     last = F.when(F.col("tokens") > 0, F.ceil(F.col("budget") / F.col("tokens")) - 1).otherwise(F.lit(0) if whole else F.lit(-1)).cast("int")
     weights = weights.withColumn("blocks", blocks).withColumn("last", last).filter("last >= 0")
     copies = sized.join(weights, "source").withColumn("block", F.pmod(_hash(F.lit(seed), F.col("doc_id")), F.col("blocks"))).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("last"))))
     group = ["source", "epoch", "block"]
-    per_block = copies.groupBy(*group).agg(F.sum("n_tokens").alias("held"))
-    in_epoch = Window.partitionBy("source", "epoch").orderBy(_hash(F.lit(seed), F.col("epoch"), F.col("source"), F.col("block")), "block").rowsBetween(Window.unboundedPreceding, -1)
-    per_block = per_block.select(*group, F.coalesce(F.sum("held").over(in_epoch), F.lit(0)).alias("base"))
+    per_block = copies.groupBy(*group).agg(F.sum("n_tokens").alias("held")).withColumn("place", _hash(F.lit(seed), F.col("epoch"), F.col("source"), F.col("block")))
+    # Blocks in the order of their places, in two levels: sums of strata of places, and sums inside each.
+    stratum = ["source", "epoch", "stratum"]
+    per_block = per_block.withColumn("stratum", F.shiftright("place", STRATUM_SHIFT))
+    before = Window.partitionBy("source", "epoch").orderBy("stratum").rowsBetween(Window.unboundedPreceding, -1)
+    strata = per_block.groupBy(*stratum).agg(F.sum("held").alias("held")).select(*stratum, F.coalesce(F.sum("held").over(before), F.lit(0)).alias("below"))
+    inside = Window.partitionBy(*stratum).orderBy("place", "block").rowsBetween(Window.unboundedPreceding, -1)
+    per_block = per_block.select(*stratum, "block", F.coalesce(F.sum("held").over(inside), F.lit(0)).alias("above")).join(strata, stratum).select(*group, (F.col("below") + F.col("above")).alias("base"))
     in_block = Window.partitionBy(*group).orderBy(_hash(F.lit(seed), F.col("epoch"), F.col("doc_id")), "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     placed = copies.withColumn("inside", F.coalesce(F.sum("n_tokens").over(in_block), F.lit(0))).join(per_block, group)
     start = F.col("epoch").cast("long") * F.col("tokens") + F.col("base") + F.col("inside")
@@ -121,9 +131,9 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     taken = mix(docs, whole=True, **params)
     times = taken.groupBy("doc_id", "source", "n_tokens").agg(F.count("*").alias("k"), F.count_if(F.col("epoch") == 0).alias("c"))
     times = times.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("n_tokens").alias("_n"), F.ceil(F.col("k") / F.col("c")).cast("int").alias("_times"))
-    sized = docs.withColumn("_tokens", token_count()).withColumn("_source", F.coalesce("source", F.lit("")))
-    joined = sized.join(times, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_source") == F.col("_s")) & (F.col("_tokens") == F.col("_n")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(c) for c in docs.columns])
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("_doc"), token_count().alias("_tokens"), F.coalesce("source", F.lit("")).alias("_source"))
+    joined = sized.join(times, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_source") == F.col("_s")) & (F.col("_tokens") == F.col("_n")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).select("row.*")
 
 
 def oracle(entropy_share: float = 0.97, max_repeats: float = 4.0, block_tokens: int = 1 << 16, seed: int = 17) -> str:
