@@ -9,9 +9,16 @@ before or after it, seen in clean documents but not in toxic ones) does not coun
 is divided by a slow function of length and mapped to 0..1 by a logistic curve fitted on the same
 rows.
 
-Learning takes at most ``fit_rows`` labelled rows, those of least id hash: a documented bound on a
-classifier's sample. Everything else runs on all documents in one pass without a shuffle. Null and
-empty texts have no hits. Without labels of both kinds nothing can be learned and every score is 0.
+Learning takes at most ``fit_rows`` labelled documents, those of least id hash: a documented bound on
+a classifier's sample, which also bounds the terms and phrases that reach the driver (words of
+these documents). Everything else runs on all documents in one pass without a shuffle.
+
+Special cases: null and empty texts have no hits. Without labels of both kinds nothing can be
+learned and every score is 0. A document labelled twice counts as toxic if either label says so; one
+whose id comes with several texts teaches once, by the least. Repeated rows are scored alike. Of
+equally supported terms none is left out. Long texts are matched whole, in time linear in
+their length. Columns of the input that are named like the result's give way to them; an empty table
+has no rows.
 """
 
 from __future__ import annotations
@@ -164,7 +171,7 @@ def telling(counts: dict[tuple[int, int], int], share: float, most_false: float
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, fit_rows: int = 8192, most_terms: int = 4096, least_docs: int = 8, least_odds: float = 3.0) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, fit_rows: int = 8192, least_docs: int = 8, least_odds: float = 3.0) -> Lexicon:
     """A lexicon from labelled rows (default: crc32 of the id's text, modulo 5, is not 0).
 
     ``least_docs`` toxic documents are enough for a term in any sample; fewer where they are telling.
@@ -172,9 +179,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, fit_row
     learn = crc_of_id() % 5 != 0 if learn is None else learn
     marked = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & learn).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)  # bounded: small enough to broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    rows = cut(rows)  # read four times; fit_rows texts at most
-    sizes = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.min("toxic").alias("toxic"))
+    rows = cut(rows.select("text", "toxic"))  # read four times; fit_rows texts at most
+    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return Lexicon({})
@@ -185,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, fit_row
     enough = F.col("t") >= least_docs
     for n, t in telling({(r["n"], r["t"]): r["count"] for r in few}, n1 / (n1 + n0)):
         enough |= (F.col("t") == t) & (F.col("c") == n - t)
-    best = counted.withColumn("odds", odds).filter(enough & (F.col("odds") >= least_odds) & (F.col("t") > 2 * F.col("c"))).orderBy(F.desc("t"), "term").limit(most_terms).collect()
+    best = counted.withColumn("odds", odds).filter(enough & (F.col("odds") >= least_odds) & (F.col("t") > 2 * F.col("c"))).collect()
     held = {r["term"]: (r["odds"], r["t"]) for r in best}
     # A stem that stands for one longer term in nearly all its documents says no more than that term;
     # of the others, a longer term adds nothing where a stem of it is at least nearly as telling.
@@ -204,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, fit_row
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int32()), pa.array(list(n.values()), pa.int64())], ["a", "b", "toxic", "n"])
 
     phrases = rows.mapInArrow(contexts, "a string, b string, toxic int, n long").groupBy("a", "b").agg(F.sum(F.when(F.col("toxic") == 0, F.col("n"))).alias("clean"), F.sum(F.when(F.col("toxic") == 1, F.col("n"))).alias("toxic"))
-    phrases = phrases.filter("clean >= 3 AND toxic IS NULL").orderBy(F.desc("clean"), "a", "b").limit(most_terms).collect()
+    phrases = phrases.filter("clean >= 3 AND toxic IS NULL").collect()
     lexicon = Lexicon(terms, frozenset((r["a"], r["b"]) for r in phrases))
 
     def weigh(batches):
@@ -231,7 +238,13 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def score(docs: DataFrame, lexicon: Lexicon, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
-    """``docs`` with a score (0 to 1) and a prediction (1 from 0.5 on); one pass, no shuffle."""
+    """``docs`` with a score (0 to 1) and a prediction (1 from 0.5 on); one pass, no shuffle.
+
+    Columns of ``docs`` that have one of ``names`` are replaced.
+    """
+    taken = {n.lower() for n in names}
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken])
+
     def run(batches):
         for t in batches:
             s = [lexicon.score(x or "") for x in t.column("text").to_pylist()]
