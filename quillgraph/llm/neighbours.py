@@ -5,7 +5,11 @@ quantised to int8 with a scale each; a tile of int8 products estimates the inner
 x = x' + e and y = y' + f the error is at most |x'| |f| + |e| |y|. Candidates whose upper bound lies
 below the k-th best lower bound cannot be among the k nearest of the block; the others are computed
 again in double precision, in the order of the components. Heaps merge the blocks' lists. The
-result is exact: nothing is sampled and no candidate is left out.
+result is exact: nothing is sampled and no candidate is left out. A candidate travels once for each
+block of queries, so n candidates and q queries move n * q / 4096 vectors: the price of the method.
+
+Special cases are told in ``nearest``. Components so large that products overflow give infinite
+scores; such candidates always survive their tile, and a score that is no number ranks last.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ class _Side:
         dim = t.column("dim")[0].as_py()
         values = flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
         self.x = values[rows].astype(np.float64)
-        scale = np.abs(self.x).max(1) / 127
+        scale = np.maximum(np.abs(self.x).max(1) / 127, np.nextafter(0, 1))  # of tiny values the share can be 0
         q = np.rint(self.x / scale[:, None]).astype(np.int8)
         back = q * scale[:, None]
         self.scale = scale
@@ -53,32 +57,38 @@ def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return s
 
 
+def _lists(t: pa.Table, k: int) -> pa.Table:
+    is_query = t.column("query").to_numpy()
+    q, c = _Side(t, np.flatnonzero(is_query)), _Side(t, np.flatnonzero(~is_query))
+    ids, found, scores = [], [], []
+    for a in range(0, len(q.ids) if len(c.ids) else 0, 256):
+        b = slice(a, a + 256)
+        est = (q.q[b] @ c.q.T) * (q.scale[b, None] * c.scale[None, :])
+        # A little more than the bound, for the rounding of the bound itself.
+        err = (q.near[b, None] * c.off[None, :] + q.off[b, None] * c.norm[None, :]) * (1 + 1e-9) + 1e-12 * (q.norm[b, None] * c.norm[None, :]) + 1e-300
+        own = q.ids[b, None] == c.ids[None, :]
+        low = np.where(own, -np.inf, est - err)
+        n = low.shape[1]
+        low[np.isnan(low)] = -np.inf
+        bar = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(low), -np.inf)
+        qi, ci = np.nonzero(~(est + err < bar[:, None]) & ~own)
+        s = _exact(q.x[b][qi], c.x[ci])
+        order = np.lexsort((c.ids[ci], -s, qi))  # what is no number sorts last, by id
+        qi, ci, s = qi[order], ci[order], s[order]
+        start = np.searchsorted(qi, np.arange(len(low) + 1))
+        for i in range(len(low)):
+            top = slice(start[i], min(start[i] + k, start[i + 1]))
+            if top.stop > top.start:
+                ids.append(q.ids[a + i])
+                found.append(c.ids[ci[top]].tobytes())
+                scores.append(s[top].tobytes())
+    return pa.table({"query_id": pa.array(ids, pa.int64()), "ids": pa.array(found, pa.binary()), "scores": pa.array(scores, pa.binary())})
+
+
 def _tile(k: int):
     def run(t: pa.Table) -> pa.Table:
-        is_query = t.column("query").to_numpy()
-        q, c = _Side(t, np.flatnonzero(is_query)), _Side(t, np.flatnonzero(~is_query))
-        ids, found, scores = [], [], []
-        for a in range(0, len(q.ids) if len(c.ids) else 0, 256):
-            b = slice(a, a + 256)
-            est = (q.q[b] @ c.q.T) * (q.scale[b, None] * c.scale[None, :])
-            # A little more than the bound, for the rounding of the bound itself.
-            err = (q.near[b, None] * c.off[None, :] + q.off[b, None] * c.norm[None, :]) * (1 + 1e-9) + 1e-12 * (q.norm[b, None] * c.norm[None, :])
-            own = q.ids[b, None] == c.ids[None, :]
-            low = np.where(own, -np.inf, est - err)
-            n = low.shape[1]
-            bar = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(low), -np.inf)
-            qi, ci = np.nonzero((est + err >= bar[:, None]) & ~own)
-            s = _exact(q.x[b][qi], c.x[ci])
-            order = np.lexsort((c.ids[ci], -s, qi))
-            qi, ci, s = qi[order], ci[order], s[order]
-            start = np.searchsorted(qi, np.arange(len(low) + 1))
-            for i in range(len(low)):
-                top = slice(start[i], min(start[i] + k, start[i + 1]))
-                if top.stop > top.start:
-                    ids.append(q.ids[a + i])
-                    found.append(c.ids[ci[top]].tobytes())
-                    scores.append(s[top].tobytes())
-        return pa.table({"query_id": pa.array(ids, pa.int64()), "ids": pa.array(found, pa.binary()), "scores": pa.array(scores, pa.binary())})
+        with np.errstate(over="ignore", invalid="ignore"):
+            return _lists(t, k)
 
     return run
 
@@ -87,13 +97,14 @@ def _merge(k: int):
     def run(t: pa.Table) -> pa.Table:
         lists: dict[int, list] = {}
         for q, i, s in zip(t.column("query_id").to_pylist(), t.column("ids").to_pylist(), t.column("scores").to_pylist(), strict=True):
-            lists.setdefault(q, []).append(list(zip((-np.frombuffer(s, np.float64)).tolist(), np.frombuffer(i, np.int64).tolist(), strict=True)))
+            own = np.frombuffer(s, np.float64)
+            lists.setdefault(q, []).append(list(zip(np.isnan(own).tolist(), np.where(np.isnan(own), 0.0, -own).tolist(), np.frombuffer(i, np.int64).tolist(), own.tolist(), strict=True)))
         out: list[tuple] = []
         for q, parts in lists.items():
-            for rank, (s, i) in enumerate(heapq.merge(*parts), 1):
+            for rank, (_, _, i, s) in enumerate(heapq.merge(*parts, key=lambda x: x[:3]), 1):
                 if rank > k:
                     break
-                out.append((q, rank, i, -s))
+                out.append((q, rank, i, s))
         cols = list(zip(*out, strict=True)) or [[]] * 4
         return pa.table({n: pa.array(list(c), kind) for n, c, kind in zip(("query_id", "rank", "vec_id", "score"), cols, (pa.int64(), pa.int32(), pa.int64(), pa.float64()), strict=True)})
 
