@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -211,19 +212,32 @@ def test_fold_of_long_words_and_the_native_fold(spark):
     assert all(list(r["ids"]) == e.encode_ordinary(r["w"]) for r in df.collect())
 
 
-def test_blanks_of_any_kind_beside_each_other():
+def test_encoders_are_the_libraries_on_random_texts():
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tokens.read_ranks(MULTI), special_tokens={})
+    plain = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    alike = lambda ranks: tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tokens.read_ranks(ranks), special_tokens={})
     rng = random.Random(4)
-    texts = ["Title\n\xa0\xa0Text follows", "a\n\t\tb c", "a\t \tb c", "x\xa0 \u3000y", "a\n\xa0b", "a\u2003\u2003\nb", "a\r\n\r\nb", "\x1c \x1cb", "\xa0", "a\tb", "a\u2028 b"]
-    texts += ["".join(rng.choice(["a", "bc", ".", "7", " ", "\n", "\t", "\r", "\xa0", "\u3000", "\x1c", "\x85"]) for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
-    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
-    own = [e.encode_ordinary(t) for t in texts]
-    ids = lambda blobs: [np.frombuffer(b, "<i4").tolist() for b in blobs]
-    assert ids(tokens.library_encoder(path, public_tokenizers.PATTERN).batch(texts)) == want
-    for make in (tokens.rank_encoder, tokens.fold_encoder):
-        assert ids(make(MULTI, public_tokenizers.PATTERN).batch(texts)) == own
+    texts = ["Title\n\xa0\xa0Text follows", "a\n\t\tb c", "a\t \tb c", "x\xa0 \u3000y", "a\n\xa0b", "a\u2003\u2003\nb", "a\r\n\r\nb", "\x1c \x1cb", "\xa0", "a\tb", "a\u2028 b", "", "\n", " "]
+    some = ["a", "bc", "the", "Ab", "É", "日", ".", ",", "!?", "_", "'s", "'ll", "'", "7", "²", "\u0301", "\u200b", "\ufeff", "\x00", "😀", "<|endoftext|>"]
+    some += [" ", "  ", "\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u2003", "\u2028", "\u3000"]
+    texts += ["".join(rng.choice(some) for _ in range(rng.randrange(1, 12))) for _ in range(100_000)]
+    texts += [" ".join("".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 9))) for _ in range(300_000)), "x" * 100_000 + " .\n" * 5000]
+    ids = lambda e: [np.frombuffer(b, "<i4").tolist() for a in range(0, len(texts), 5000) for b in e.batch(texts[a : a + 5000])]
+    assert ids(tokens.library_encoder(path, public_tokenizers.PATTERN)) == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    for make, ranks in ((tokens.rank_encoder, plain), (tokens.fold_encoder, MULTI)):
+        assert ids(make(ranks, public_tokenizers.PATTERN)) == alike(ranks).encode_ordinary_batch(texts)
+
+
+def test_encoders_forget_units_without_changing_ids(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_UNITS", 40)
+    e = alike = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tokens.read_ranks(MULTI), special_tokens={})
+    own = tokens.Encoder(public_tokenizers.PATTERN, lambda pieces: [np.array(e.encode_ordinary(x), "<i4").tobytes() for x in pieces])
+    rng = random.Random(8)
+    for _ in range(60):
+        texts = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 6) + rng.choice(["", ".", "\n"]) + rng.choice(["", "x"]) for _ in range(20)) for _ in range(3)]
+        assert [np.frombuffer(b, "<i4").tolist() for b in own.batch(texts)] == [alike.encode_ordinary(t) for t in texts]
+        assert len(own.known) + len(own.old) <= 4 * 60
 
 
 @pytest.mark.parametrize("kind", ["byte", "bit"])
@@ -368,35 +382,107 @@ def test_support_follows_the_share_of_toxic_rows():
 # ---------------------------------------------------------------- language model
 
 
+def held(i):
+    return zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
+
+
+def brute_scores(rows, m2, m3):
+    """Scores by plain dictionaries: the interpolated model, word by word."""
+    end, start = ("end",), ("start",)
+    seqs = [(i, t, [start, *words(t), end]) for i, t in rows]
+    train = [w for i, _, w in seqs if not held(i)]
+    c1 = Counter(x for w in train for x in w[1:])
+    c2 = Counter(p for w in train for p in zip(w, w[1:], strict=False))
+    c3 = Counter(p for w in train for p in zip(w, w[1:], w[2:], strict=False))
+    n, v = sum(c1.values()), len(c1)
+    n1, n2 = (sum(1 for x in c1.values() if x == k) for k in (1, 2))
+    d = min(max(n1 / (n1 + 2 * n2), 0.1), 0.95) if n1 else 0.1
+    hist = lambda h: c1[end] if h == start else c1[h]
+    p1 = lambda x: (c1[x] - d) / n if c1[x] else d * v / n if n else 1.0
+    p2 = lambda h, x: (c2[h, x] + m2 * p1(x)) / (hist(h) + m2)
+    p3 = lambda u, h, x: (c3[u, h, x] + m3 * p2(h, x)) / (c2[u, h] + m3)
+    out = []
+    for i, _, w in seqs:
+        base = sum(math.log10((c1[x] + 1) / (n + v + 1)) for x in w[1:])
+        score = math.log10(p2(w[0], w[1])) + sum(math.log10(p3(*x)) for x in zip(w, w[1:], w[2:], strict=False))
+        out.append((i, held(i), len(w) - 1, sum(c1[x] > 0 for x in w[1:]), n, base, score))
+    some = [(start, None)] + [(x, u) for w in train[:3] for u, x in list(zip(w, w[1:-1], strict=False))[:40]]
+    for h, u in some:  # the model sums to one after every history
+        p = (lambda x: p2(h, x)) if u is None else (lambda x: p3(u, h, x))  # noqa: B023
+        rest = d * v / n * m2 / (hist(h) + m2) * (1 if u is None else m3 / (c2[u, h] + m3))
+        assert sum(map(p, c1)) + rest == pytest.approx(1)
+    likely = {}
+    for a, b in lm.PRIORS:
+        total = 0.0
+        for w in train:
+            for k in range(1, len(w)):
+                x, h = w[k], w[k - 1]
+                p = (c1[x] - 1 - d) / (n - 1) if c1[x] > 1 else d * v / n
+                p = (c2[h, x] - 1 + a * p) / (hist(h) - 1 + a)
+                if k > 1:
+                    p = (c3[w[k - 2], h, x] - 1 + b * p) / (c2[w[k - 2], h] - 1 + b)
+                total += math.log10(p)
+        likely[a, b] = total
+    return out, likely
+
+
+def _as_numbers(r):
+    return tuple((x is not None, x) for x in r[:5]), tuple(round(x, 4) for x in r[5:])
+
+
 def test_scores_follow_the_model(odd, docs):
     for df in (odd, docs):
         got = lm.backoff_scores(df).collect()
-        rows = rows_of(df)
-        end = ("end",)
-        train = [w for i, t in rows if zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2 for w in [[*words(t), end]]]
-        c1, c2 = Counter(x for w in train for x in w), Counter(p for w in train for p in zip([("start",), *w], w, strict=False))
-        n, v = sum(c1.values()), len(c1)
-        n1, n2 = (sum(1 for x in c1.values() if x == k) for k in (1, 2))
-        d = min(max(n1 / (n1 + 2 * n2), 0.1), 0.95)
-        m = got[0]["prior"]
-        p = lambda x: (c1[x] - d) / n if c1[x] else d * v / n  # noqa: E731, B023
-        hist = lambda h: c1[end] if h == ("start",) else c1[h]  # noqa: E731, B023
-
-        def expected(i, t):
-            w = [*words(t), end]
-            base = sum(math.log10((c1[x] + 1) / (n + v + 1)) for x in w)
-            score = sum(math.log10((c2[h, x] + m * p(x)) / (hist(h) + m)) for h, x in zip([("start",), *w], w, strict=False))
-            return (i, zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2, len(w), sum(c1[x] > 0 for x in w), n, round(base, 6), round(score, 6))
-
-        key = lambda r: tuple((x is not None, x) for x in r)
-        have = sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in got), key=key)
-        want = sorted((expected(i, t) for i, t in rows), key=key)
-        assert len(have) == len(want)
-        for a, b in zip(have, want, strict=True):
-            assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=1e-4)
-        some = words(rows[3][1])[:1] or [end]
-        for h in [("start",), *some]:  # the model sums to one
-            assert sum((c2[h, x] + m * p(x)) / (hist(h) + m) for x in c1) + m * d * v / n / (hist(h) + m) == pytest.approx(1)
+        m2, m3 = got[0]["prior"]
+        want, likely = brute_scores(rows_of(df), m2, m3)
+        assert max(likely, key=likely.get) == (m2, m3)
+        names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+        have = sorted((tuple(r[c] for c in names) for r in got), key=_as_numbers)
+        want = sorted(want, key=_as_numbers)
+        assert [h[:5] for h in have] == [w[:5] for w in want]
+        for h, w in zip(have, want, strict=True):
+            assert h[5:] == pytest.approx(w[5:], abs=1e-4)
+
+
+def test_pieces_of_a_document_are_read_like_the_whole(docs, monkeypatch):
+    """The traversal ends in the same states and arcs whatever the pieces that are read side by side."""
+    import pyarrow as pa
+
+    rows = [(i, t or "", held(i)) for i, t in rows_of(docs)]
+    g = lm._Grams(pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows], "held_out": [r[2] for r in rows]}))
+    word, pair = g.counts(g.token, g.symbols)[0].astype(int), g.counts(g.pair_of, len(g.pair))[0].astype(int)
+    triple = g.counts(g.triple_of, len(g.triple), np.flatnonzero(g.inner))[0].astype(int)
+    word[g.start] = word[g.end]
+    machine = lm.Automaton(g, word, pair, triple)
+    monkeypatch.setattr(lm, "PIECE", 1 << 20)
+    states, taken = machine.read(g.token, g.first, g.sizes, g.start)
+    for piece in (1, 2, 3, 64):
+        monkeypatch.setattr(lm, "PIECE", piece)
+        again = machine.read(g.token, g.first, g.sizes, g.start)
+        assert (again[0] == states).all() and (again[1] == taken).all()
+    naive = dict(zip(machine.arcs.tolist(), range(len(machine.arcs)), strict=True))
+    for a, n in zip(g.first[:40].tolist(), g.sizes[:40].tolist(), strict=True):  # one state after the other
+        s = int(machine.enter[g.start])
+        for at in range(a, a + n):
+            w = int(g.token[at])
+            assert states[at] == s
+            while s and s * machine.symbols + w not in naive:
+                s = int(machine.fail[s])
+            arc = naive.get(s * machine.symbols + w, -1)
+            assert taken[at] == arc
+            s = int(machine.target[arc]) if arc >= 0 else int(machine.enter[w])
+
+
+def test_copies_are_likelier_than_their_like(spark, docs):
+    """Held-out documents that training holds too are told from those that it does not."""
+    rows = [(i, t) for i, t in rows_of(docs) if len(words(t)) > 40]
+    texts = list({t: i for i, t in rows if not held(i)})
+    fresh = [i for i in range(10**6, 10**6 + 2000) if held(i)][:20]
+    more = docs.select("doc_id", "text").union(spark.createDataFrame(list(zip(fresh, texts[:20], strict=True)), "doc_id long, text string"))
+    got = {r["doc_id"]: (r["score"] - r["base_score"]) / r["n_tokens"] for r in lm.backoff_scores(more).collect()}
+    known = {t for i, t in rows if not held(i)}
+    alone = [got[i] for i, t in rows if held(i) and t not in known]
+    assert min(got[i] for i in fresh) > np.median(alone)
 
 
 def test_model_beats_its_base_on_held_out_documents(docs):
@@ -407,27 +493,112 @@ def test_model_beats_its_base_on_held_out_documents(docs):
 # ---------------------------------------------------------------- fingerprints
 
 
+def naive_tree(text):
+    """Levels of (hash, bytes) by plain loops."""
+    digest = lambda x: xxhash.xxh3_128(x).digest()
+    if not text:
+        return [[(digest(b""), 0)]]
+
+    def asks(end, one_in):
+        """end: the place after the last byte that is looked at."""
+        back = [text[max(end - 1 - k, 0)] for k in range(4)]
+        h = sum(x << 8 * k for k, x in enumerate(back))
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        h = (h ^ h >> 27) * 0x94D049BB133111EB % 2**64
+        return (h ^ h >> 31) % one_in == 0
+
+    ends = {len(text)} | {i + 1 for i, c in enumerate(text) if c == 10 or c == 32 and i and asks(i, 3)}
+    last = 0
+    for e in sorted(ends):
+        if e - last > 256:
+            ends |= {i + 1 for i in range(last + 8, e - 8) if asks(i + 1, 32)}
+        last = e
+    last = 0
+    for e in sorted(ends):
+        ends |= set(range(last + 256, e, 256))
+        last = e
+    level, at = [], 0
+    for e in sorted(ends):
+        level.append((digest(text[at:e]), e - at, text[e - 1] == 10))
+        at = e
+    levels = [[x[:2] for x in level]]
+    closes = [line or h[0] % 16 == 0 for h, _, line in level]
+    while True:
+        up, own = [], []
+        for node, close in zip(levels[-1], closes, strict=True):
+            own.append(node)
+            if close or len(own) == 32:
+                up.append(own)
+                own = []
+        up += [own] if own else []
+        if len(up) == len(levels[-1]) and len(levels) > 1:
+            up = [levels[-1]]
+        levels.append([(digest(b"".join(h for h, _ in x)), sum(n for _, n in x)) for x in up])
+        if len(levels[-1]) == 1:
+            return levels
+        closes = [h[1] % 4 == 0 for h, _ in levels[-1]]
+
+
+def naive_likeness(x, y):
+    """x, y: levels of two texts."""
+    if x[-1][0][0] == y[-1][0][0]:
+        return 1.0
+    carried = lambda levels: {k for k, z in enumerate(levels[:-1]) if len(z) <= merkle.MOST}
+    both = carried(x) & carried(y)
+    if not both:
+        return 0.0
+    p, q = (Counter((h[2:6], n) for h, n in z[min(both)]) for z in (x, y))
+    size = lambda c: sum(n * k for (_, n), k in c.items())
+    return min(size(p & q), size(p | q) - min(n for _, n in x[min(both)])) / size(p | q)
+
+
 def test_edits_and_neighbours(odd, docs):
     for df in (odd, docs):
-        got = merkle.edit_likeness(df).collect()
+        got = merkle.edit_likeness(df, some=7).collect()
         order = sorted(((i, t or "") for i, t in rows_of(df)), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
         want = []
         for k, (i, t) in enumerate(order):
             q, nxt = len(t) // 4, order[(k + 1) % len(order)][1]
             edited = t[: len(t) - q] + nxt[:q]
-            f, g, h = (merkle.fingerprint(x.encode()) for x in (t, edited, nxt))
-            want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), f, g, merkle.likeness(f, g), merkle.likeness(f, h)))
-        assert Counter(tuple(r) for r in got) == Counter(want)
+            x, y, z = (naive_tree(v.encode()) for v in (t, edited, nxt))
+            want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), x[-1][0][0].hex(), y[-1][0][0].hex(), round(naive_likeness(x, y), 9), round(naive_likeness(x, z), 9)))
+        have = [(r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"][:32], r["edited_fingerprint"][:32], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got]
+        assert Counter(have) == Counter(want)
     far = [r for r in got if r["n_chars"] > 400]
     assert np.mean([r["near_edited"] for r in far]) > 0.5 and np.median([r["near_next"] for r in far]) < 0.1
 
 
+def test_neighbours_across_ranges_of_one_id(spark):
+    rows = [(5, f"t{k:03d}") for k in range(40)] + [(None, "n"), (1, None), (9, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["edited_sha256"] for r in merkle.edit_likeness(df).collect()}
+    order = [t or "" for _, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))]
+    assert got == {hashlib.sha256((t[: len(t) - len(t) // 4] + u[: len(t) // 4]).encode()).hexdigest() for t, u in zip(order, order[1:] + order[:1], strict=True)}
+
+
 def test_trees_locate_edits():
-    a = b"\n".join(b"line %d of the text" % i for i in range(200))
-    lines = a.split(b"\n")
-    lines[57] = b"changed"
-    assert merkle.changed_paragraphs(a, b"\n".join(lines)) == [57] and merkle.changed_paragraphs(a, a) == []
-    assert merkle.root(merkle.tree(a)) != merkle.root(merkle.tree(b"\n".join(lines)))
+    rng = random.Random(6)
+    lines = [b" ".join(b"%d" % rng.randrange(10**6) for _ in range(12)) for _ in range(900)]
+    a = b"\n".join(lines)
+    for at in (0, 57, 450, 899):
+        other = [*lines]
+        other[at] = b"changed " * 9
+        b = b"\n".join(other)
+        x, y = merkle.fingerprint(a), merkle.fingerprint(b)
+        ranges = merkle.changed(x, y)
+        first = sum(len(v) + 1 for v in other[:at])
+        assert all(any(p <= k < q for p, q in ranges) for k in (first, first + 40, first + len(other[at]) - 1))
+        assert sum(q - p for p, q in ranges) < len(b) / 8
+        assert 0.8 < merkle.likeness(x, y) < 1
+    assert merkle.changed(x, x) == [] and merkle.likeness(x, x) == 1.0
+
+
+def test_unlike_texts_without_blanks_are_told_apart():
+    a = b"abba" * 512
+    assert merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(bytes(a.translate(bytes.maketrans(b"ab", b"ba"))))) < 1
+    thue = bytes(97 + bin(i).count("1") % 2 for i in range(2048))
+    other = bytes(195 - c for c in thue)
+    assert merkle.fingerprint(thue)[:32] != merkle.fingerprint(other)[:32] and merkle.likeness(merkle.fingerprint(thue), merkle.fingerprint(other)) < 1
 
 
 # ---------------------------------------------------------------- nearest neighbours
@@ -490,5 +661,138 @@ def test_pipeline_against_brute_force(spark, small):
         docs = out
 
 
+def naive_weight(x, text):
+    """Every word against every term, without a machine."""
+    w = toxicity.fold(text or "")
+    total = 0.0
+    for i, word in enumerate(w):
+        best = max((v for t, v in x.terms.items() if (word == t[:-1] if t.endswith(" ") else word.startswith(t))), default=None)
+        around = {(a, b) for a, b in ((w[i - 1] if i else "", word), (word, w[i + 1] if i + 1 < len(w) else ""))}
+        if best is not None and not around & x.exceptions:
+            total += best
+    return total / (1 + math.log1p(len(w) / 200))
+
+
+def test_scores_match_a_naive_matcher(spark, odd, docs, small):
+    x = toxicity.fit(docs, spark.read.parquet(f"{small}/labels.parquet"))
+    assert x.terms
+    x = toxicity.Lexicon({**x.terms, "ba": 0.7, "lo ": 1.1}, x.exceptions | {("ba", "lo")}, x.curve)
+    for df in (odd.withColumn("predicted", F.lit("clash")), docs):
+        got = toxicity.score(df, x)
+        assert [c for c in got.columns if c in ("score", "predicted")] == ["score", "predicted"]
+        a, b = x.curve
+        for r in got.collect():
+            s = 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * naive_weight(x, r["text"])))))
+            assert r["score"] == pytest.approx(s) and r["predicted"] == int(r["score"] >= 0.5)
+
+
+def test_a_labelled_id_with_many_texts_teaches_once(spark):
+    rows = [(1, "foul mouth")] * 50 + [(1, f"other {k}") for k in range(300)] + [(i, ("foul " if i % 2 else "kind ") + " ".join(f"{c}{i}" for c in "uvwxyz")) for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 60)] + [(1, 0, 0)], "doc_id long, quality int, toxic int")
+    x = toxicity.fit(docs, labels, F.lit(True))
+    assert any(t.startswith(toxicity.fold("foul")[0]) for t in x.terms) and not any(t.startswith("other") for t in x.terms)
+
+
+def test_tiny_huge_and_tied_vectors(spark):
+    rows = [(0, [1e-320, 0.0]), (1, [5e-324, 5e-324]), (2, [1e-318, -1e-319]), (3, [1e200, 1e200]), (20, [1e200, -1e200]), (21, [1e200, 1.0]), (22, [1.0, 1.0]), (23, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for q, r, i, s in sorted(rows_of(neighbours.nearest(df, 20), "query_id", "rank", "vec_id", "score")):
+        got.setdefault(q, []).append((i, s))
+    v = dict(rows)
+    for q in (0, 20):
+        want = []
+        for i in v:
+            if i != q:
+                s = 0.0
+                for a, b in zip(v[q], v[i], strict=True):
+                    s += a * b
+                want.append((math.isnan(s), 0 if math.isnan(s) else -s, i, s))
+        assert [i for i, _ in got[q]] == [i for _, _, i, _ in sorted(want)]
+        assert [repr(s) for _, s in got[q]] == [repr(s) for *_, s in sorted(want)]
+
+
+def test_hot_source_is_mixed_in_strata(spark, monkeypatch):
+    """Offsets summed in two levels are those of one sorted list of blocks."""
+    rows = [(i, " ".join(["w"] * (i % 7)), "hot" if i % 3 else "cold") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = mixing.mix(df, 1.0, 9.0, block_tokens=4)
+    once = sorted(map(tuple, taken.collect()))
+    monkeypatch.setattr(mixing, "STRATUM_SHIFT", 59)
+    assert sorted(map(tuple, mixing.mix(df, 1.0, 9.0, block_tokens=4).collect())) == once
+    own = sorted((r["start"], r["n_tokens"]) for r in taken.collect() if r["source"] == "cold")
+    assert all(a + n <= b for (a, n), (b, _) in zip(own, own[1:], strict=False))
+
+
+def test_rows_of_one_id_with_unlike_texts_both_stay(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(1, a), (1, b), (1, a), (2, b + " end"), (3, c), (None, a), (None, a), (4, None), (4, ""), (5, "")]
+    out = near_dedup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), near_dedup.Params())
+    assert Counter(rows_of(out)) == Counter([(1, a), (1, b), (3, c), (None, a), (None, a), (4, None), (4, ""), (5, "")])
+
+
+def test_large_clusters_ask_their_least_member_first(spark):
+    """Clusters over several groups, with members that only others link, against brute force."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    rows = []
+    for i in range(90):
+        w = [*base]
+        for _ in range(rng.choice([0, 0, 1, 4, 6])):
+            w[rng.randrange(100)] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for side in (4, 16):
+        got = rows_of(near_dedup.near_duplicates(df, near_dedup.Params(3, 85, tile=side, verify_tile=side)), "doc_id", "n_shingles", "component_id")
+        assert Counter(got) == Counter(brute_components(rows, 3, 85))
+
+
+def test_every_stage_takes_odd_rows_and_empty_tables(spark, odd, small):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = odd.withColumn("toxic", F.lit("t")).withColumn("_tokens", F.lit(1)).withColumn("row", F.lit(2)).withColumn("none", F.lit(3))
+    for df in (docs, docs.limit(0)):
+        names, n = df.columns, df.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, df, small)
+            assert out.columns == names
+            rows = [(r["doc_id"], r["text"], r["toxic"], r["none"]) for r in out.collect()]
+            assert all(r[2:] == ("t", 3) for r in rows) and bool(rows) == bool(n)
+            if n and name != "near_dedup":
+                assert sum(r[1] is None for r in rows) >= sum(t is None for _, t in rows_of(df))
+        assert corpus_pipeline.STAGES[-1][1](spark, df, small).count() == n
+
+
+CONTRACT = {
+    "op2_near_dedup": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
+    "op3_suffix_dedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+    "op5_token_file": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
+    "op6_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op7_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    "op8_lm_scores": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+    "op9_fingerprints": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
+    "op10_nearest": "query_id bigint, rank int, vec_id bigint, score double",
+}
+
+
+@pytest.mark.parametrize("name", sorted(CONTRACT))
+def test_queries_have_the_columns_of_their_contract(spark, small, name):
+    got = QUERIES[name](spark, small)
+    kinds = dict(got.dtypes)
+    assert all(kinds[c] == k for c, k in (x.split(" ") for x in CONTRACT[name].split(", ")))
+    if name == "op7_bpe":
+        e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tokens.read_ranks(MULTI), special_tokens={})
+        want = []
+        for i, t in rows_of(spark.read.parquet(f"{small}/documents.parquet")):
+            ids = e.encode_ordinary(t)
+            want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    elif name != "op10_nearest":
+        ids = [r["doc_id"] for r in got.select("doc_id").collect()]
+        assert sorted(ids) == sorted(i for i, _ in rows_of(spark.read.parquet(f"{small}/documents.parquet")))
+
+
 def test_toxic_ids_are_whole_words_of_digits():
     assert re.fullmatch(r"[a-z]+", toxicity.fold("5cum")[0])
