@@ -2,46 +2,33 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..sources import parsers
 from ..vocab import CONFIDENCE, PHASES, POLICY
 
-# Statement patterns, words that are no tables, hosts that name nothing.
-_IDENT = r'(?:"[^"]+"|`[^`]+`|\[[^\]]+\]|[A-Za-z_][A-Za-z0-9_$]*)'
-_TABLE = rf"({_IDENT}(?:\.{_IDENT})?)"
-SQL_PATTERNS = (
-    ("INSERT", "write", rf"(?i)\binsert\s+into\s+{_TABLE}"),
-    ("UPDATE", "write", rf"(?i)\bupdate\s+(?:only\s+)?{_TABLE}\s+set\b"),
-    ("DELETE", "write", rf"(?i)\bdelete\s+from\s+{_TABLE}"),
-    ("SELECT", "read", rf"(?i)\bfrom\s+{_TABLE}"),
-    ("JOIN", "read", rf"(?i)\bjoin\s+{_TABLE}"),
-    ("CREATE TABLE", "write", rf"(?i)\bcreate\s+table\s+(?:if\s+not\s+exists\s+)?{_TABLE}"),
-    ("TRUNCATE", "write", rf"(?i)\btruncate\s+(?:table\s+)?{_TABLE}"),
-)
-SQL_ANCHOR = r"(?i)\b(select|insert\s+into|update|delete\s+from|create\s+table|truncate)\b"
-NOT_A_TABLE = ("select", "dual", "unnest", "generate_series", "values", "lateral", "json_table", "table")
+# Hosts that name nothing.
 PLACEHOLDER_HOSTS = ("localhost", "127.0.0.1", "0.0.0.0", "::1", "example.com", "www.example.com", "example.org", "example.net", "test.com")
 PLACEHOLDER_ENDINGS = (".local", ".localhost", ".invalid")
 
 
-def _reference(seq: int, access: str, statement: str):
-    return lambda raw: F.struct(F.lit(seq).alias("seq"), raw.alias("raw"), F.lit(access).alias("access"), F.lit(statement).alias("statement"))
+def table_references(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """Tables that SQL text reads and writes: one row per table and access, with the first statement kind that says so.
 
+    Columns ``keep`` come along. Text is read by the SQL tokenizer, so comments and string literals name no table.
+    """
+    schema = StructType([*(df.schema[c] for c in keep), *StructType.fromDDL("table string, access string, statement string").fields])
 
-def table_references(df: DataFrame, text: str, *keep: str) -> DataFrame:
-    """Tables that SQL text reads and writes: one row per table and access, with the first statement kind that says so."""
-    body = F.regexp_replace(F.col(text), r"(?i)\bdelete\s+from\b", "delete ")  # so that its from is no read
-    found = None
-    for i, (kind, access, pattern) in enumerate(SQL_PATTERNS):
-        src = F.col(text) if kind == "DELETE" else body
-        part = F.transform(F.regexp_extract_all(src, F.lit(pattern), 1), _reference(i, access, kind))
-        found = part if found is None else F.concat(found, part)
-    rows = df.filter(F.col(text).rlike(SQL_ANCHOR)).select(*keep, F.explode(found).alias("f")).select(*keep, "f.*")
-    last = F.element_at(F.split("raw", r"\."), -1)
-    table = F.trim(F.regexp_replace(F.regexp_replace(last, r'^["`\[]', ""), r'["`\]]$', ""))
-    rows = rows.withColumn("table", table).filter(F.col("table").rlike(r"^[A-Za-z_][A-Za-z0-9_$]*$") & ~F.lower("table").isin(*NOT_A_TABLE))
-    return rows.groupBy(*keep, "table", "access").agg(F.min_by("statement", "seq").alias("statement"))
+    def run(batches):
+        for t in batches:
+            found = [(i, *x[:3]) for i, body in enumerate(t.column(text).to_pylist()) for x in parsers.table_accesses(body or "")]
+            at = pa.array([x[0] for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(t.column(c).take(at) for c in keep), *(pa.array([x[k] for x in found], pa.string()) for k in (1, 2, 3))], [*keep, "table", "access", "statement"])
+
+    return df.select(*keep, text).mapInArrow(run, schema)
 
 
 def normalize_route(path: Column) -> Column:

@@ -50,10 +50,15 @@ WORDS, PAIRS = 0, 1
 
 
 class _Grams:
-    """Tokens of a chunk as numbers of its distinct words, pairs and triples."""
+    """Tokens of a chunk as numbers of its distinct words, pairs and triples.
+
+    Numbers follow the words' hashes: the chunk's rows may come in another order each time.
+    """
 
     def __init__(self, t: pa.Table):
         codes, words, sizes = word_codes(t.column("text"))
+        words, place = np.unique(words, return_inverse=True)
+        codes = place[codes]
         self.end, self.start, self.symbols = len(words), len(words) + 1, len(words) + 2
         self.sizes = sizes + 1
         last = np.cumsum(self.sizes) - 1

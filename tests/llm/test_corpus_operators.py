@@ -473,6 +473,17 @@ def test_pieces_of_a_document_are_read_like_the_whole(docs, monkeypatch):
             s = int(machine.target[arc]) if arc >= 0 else int(machine.enter[w])
 
 
+def test_numbers_do_not_depend_on_the_order_of_rows(docs):
+    import pyarrow as pa
+
+    rows = [(i, t or "", held(i)) for i, t in rows_of(docs)]
+    made = []
+    for own in (rows, rows[::-1]):
+        g = lm._Grams(pa.table({"doc_id": [r[0] for r in own], "text": [r[1] for r in own], "held_out": [r[2] for r in own]}))
+        made.append((g.word, g.pair, g.triple, g.triple_first, g.triple_last, *g.counts(g.triple_of, len(g.triple), np.flatnonzero(g.inner))))
+    assert all((a == b).all() for a, b in zip(*made, strict=True))
+
+
 def test_copies_are_likelier_than_their_like(spark, docs):
     """Held-out documents that training holds too are told from those that it does not."""
     rows = [(i, t) for i, t in rows_of(docs) if len(words(t)) > 40]
