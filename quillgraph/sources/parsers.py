@@ -625,16 +625,16 @@ def calls_at(tokens: list[Token]) -> Iterator[tuple[list[str], list[list[Token]]
 
 
 def imports(tokens: list[Token]) -> list[dict]:
-    """``kind (import, export), module, names [(name, local)], line`` of import and re-export statements, require() and import()."""
+    """``kind (import, export), module, names [(name, local)], default (local), line`` of import and re-export statements, require() and import()."""
     out = []
     for i, t in enumerate(tokens):
         if t.kind != "name" or t.text not in ("import", "export", "require") or (i and tokens[i - 1].text == "."):
             continue
         if t.text == "require" or tokens[i + 1 : i + 2] and tokens[i + 1].text == "(":
             if i + 2 < len(tokens) and tokens[i + 1].text == "(" and tokens[i + 2].kind == "str":
-                out.append({"kind": "import", "module": tokens[i + 2].value, "names": [], "line": t.line})
+                out.append({"kind": "import", "module": tokens[i + 2].value, "names": [], "default": None, "line": t.line})
             continue
-        names, k, module = [], i + 1, None
+        names, k, module, default = [], i + 1, None, None
         while k < len(tokens) and tokens[k].text != ";":
             if tokens[k].kind == "str":
                 module = tokens[k].value
@@ -650,7 +650,9 @@ def imports(tokens: list[Token]) -> list[dict]:
                     names.append(("*", tokens[k].text))
                 else:
                     names.append((tokens[k].text, tokens[k].text))
+                    if k == i + 1 or k == i + 2 and tokens[i + 1].text == "type":
+                        default = tokens[k].text
             k += 1
         if module is not None:
-            out.append({"kind": t.text, "module": module, "names": names, "line": t.line})
+            out.append({"kind": t.text, "module": module, "names": names, "default": default, "line": t.line})
     return out
