@@ -292,6 +292,8 @@ def _type_text(tokens: list[tuple]) -> str | None:
 
 
 def _column(tokens: list[tuple], table: Table, keys: list[dict]) -> None:
+    if not tokens:
+        return
     w = _sub(tokens)
     line = w.line()
     if w.peek().strip('"`[]') in _CONSTRAINTS:
@@ -412,9 +414,10 @@ def table_accesses(text: str, ddl: bool = True) -> list[tuple[str, str, str, int
             note("read", "SELECT")
         elif w.take("join"):
             note("read", "JOIN")
+        elif w.take("select"):
+            statements += 1
         else:
-            statements += w.take("select")
-            w.at += 0 if w.at and w.items[w.at - 1][1].lower() == "select" else 1
+            w.at += 1
     return [(t, a, s, line) for (t, a), (s, line) in found.items()] if statements else []
 
 
