@@ -6,7 +6,6 @@ join, and the new frontier is checkpointed so plans stay short and a lost execut
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,13 +16,11 @@ from ..vocab import BEHAVIOURAL, OVERVIEW_TYPES, PROJECTIONS, bounded
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialises in ``spark.checkpoint.dir``; a temporary folder stands in on a local master without the setting."""
+    """Materialises in ``spark.checkpoint.dir``, and where it is unset in a folder of the warehouse."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        found = sc.getConf().get("spark.checkpoint.dir")
-        if not found and not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="quill-"))
+        warehouse = df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"{warehouse}/checkpoints")
     return df.checkpoint(eager=True)
 
 

@@ -271,7 +271,7 @@ def t03_overview(spark, sf_dir):
     return traverse.overview(held_graph(spark, sf_dir), limit=200).nodes.select(*NODE.split(", "), "degree")
 
 
-@query("t03_overview_edges", sql("SELECT id, source, relationship, target, occurrences, confidence FROM edges WHERE source IN (SELECT id FROM top) AND target IN (SELECT id FROM top) AND relationship IN " + _in(BEHAVIOURAL), more=f"deg AS (SELECT src AS id, count(*) AS degree FROM adj WHERE relationship IN {_in(BEHAVIOURAL)} GROUP BY src), top AS (SELECT id FROM nodes JOIN deg USING (id) WHERE node_type IN {_in(OVERVIEW_TYPES)} ORDER BY degree DESC, name, id LIMIT 200)"))
+@query("t03_overview_edges", sql("SELECT id, source, relationship, target, occurrences, confidence FROM edges WHERE source IN (SELECT id FROM top) AND target IN (SELECT id FROM top) AND relationship IN " + _in(BEHAVIOURAL), more=f"deg AS MATERIALIZED (SELECT src AS id, count(*) AS degree FROM adj WHERE relationship IN {_in(BEHAVIOURAL)} GROUP BY src), top AS MATERIALIZED (SELECT id FROM nodes JOIN deg USING (id) WHERE node_type IN {_in(OVERVIEW_TYPES)} ORDER BY degree DESC, name, id LIMIT 200)"))
 def t03_overview_edges(spark, sf_dir):
     return traverse.overview(held_graph(spark, sf_dir), limit=200).edges
 

@@ -17,7 +17,7 @@ def _fs(spark: SparkSession, path: str):
 
 
 def replace_graph(g: Graph, folder: str, project_id: str) -> str:
-    """Writes a new version beside the old one, then moves a one-line pointer over.
+    """Writes a new version beside the old one, then renames a one-line pointer over the old one.
 
     Readers follow the pointer, so they see the old graph or the new one and never a mix. Rows that
     repeat an id are written once.
@@ -32,9 +32,10 @@ def replace_graph(g: Graph, folder: str, project_id: str) -> str:
     out = fs.create(path(fresh), True)
     out.write(bytearray(version.encode()))
     out.close()
-    fs.delete(path(pointer), False)
-    if not fs.rename(path(fresh), path(pointer)):
-        raise OSError("the pointer could not be moved")
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(path(fresh)), fs.makeQualified(path(pointer)), over)
     return version
 
 
