@@ -152,6 +152,15 @@ def unpack_keys(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(U64).ravel(), dtype=U64)
 
 
+def pack_planes(a: np.ndarray) -> bytes:
+    """Whole numbers as byte planes: small ones leave the high planes empty."""
+    return np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+
+
+def unpack_planes(raw: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def shares(keys: np.ndarray, shards: int, bits: int = 64):
     """Shard numbers and slices of ascending keys that are uniform over ``bits`` bits."""
     if len(keys):

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import U64, chunk_count, crc_of_id, cut, hash_bucket, lean, mix64, pack, pack_keys, shares, text_bytes, unpack, unpack_keys, word_codes
+from .base import U64, chunk_count, crc_of_id, cut, hash_bucket, lean, mix64, pack, pack_keys, pack_planes, shares, text_bytes, unpack, unpack_keys, unpack_planes, word_codes
 
 END, START = U64(0xE4D), U64(0x57A27)
 _STEP = U64(0x9E3779B97F4A7C15)
@@ -95,9 +95,9 @@ class _Grams:
 
 def _blocks(h: np.ndarray, bits: int, shards: int, counts: tuple[np.ndarray, np.ndarray], every: bool = False) -> dict[int, bytes]:
     """Packed requests by shard; with ``every``, empty ones too."""
-    none = (pack_keys(h[:0]), counts[0][:0], counts[1][:0])
-    out = {s: pack(*none) for s in range(shards)} if every else {}
-    out.update({s: pack(pack_keys(h[at]), counts[0][at], counts[1][at]) for s, at in shares(h, shards, bits)})
+    block = lambda at: pack(pack_keys(h[at]), *[pack_planes(x[at]) for x in counts])
+    out = {s: block(slice(0)) for s in range(shards)} if every else {}
+    out.update({s: block(at) for s, at in shares(h, shards, bits)})
     return out
 
 
@@ -132,16 +132,15 @@ def _count(shards: int, notes: int):
         if shard >= notes:
             return t.select(["chunk", "shard", "blob"])
         blocks = [unpack(x) for x in t.column("blob").to_pylist()]
-        _, of = np.unique(np.concatenate([unpack_keys(b[0]) for b in blocks]), return_inverse=True)
-        sums = [np.bincount(of, np.concatenate([b[k] for b in blocks]).astype(np.float64)).astype(np.int64) for k in (1, 2)]
+        keys = [unpack_keys(b[0]) for b in blocks]
+        _, of = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = [np.bincount(of, np.concatenate([unpack_planes(b[k], np.uint32) for b in blocks]).astype(np.float64)).astype(np.int64) for k in (1, 2)]
         known = sums[0]
         own = np.array([known.sum(), (known > 0).sum(), (known == 1).sum(), (known == 2).sum()] if shard < shards else [], np.int64)
         answer, at, out = (2 * known + (known + sums[1] > 1))[of], 0, []
-        for b in blocks:
-            mine = answer[at : at + len(b[1])]
-            at += len(mine)
-            small = mine.astype(np.uint16) if not len(mine) or mine.max() < 1 << 16 else mine
-            out.append(pack(small, own))
+        for k in keys:
+            out.append(pack(pack_planes(answer[at : at + len(k)]), own))
+            at += len(k)
         return pa.table({"chunk": t.column("chunk"), "shard": t.column("shard"), "blob": pa.array(out, pa.binary())})
 
     return run
@@ -153,7 +152,7 @@ def _heard(g: _Grams, said: dict[int, bytes], shards: int) -> tuple[list[np.ndar
     for kind, h, bits, order in g.grams():
         got = np.zeros(len(h), np.int64)
         for s, at in shares(h, shards, bits):
-            got[order[at]] = unpack(said[kind * shards + s])[0]
+            got[order[at]] = unpack_planes(unpack(said[kind * shards + s])[0], np.int64)
         out.append(got)
     for s in range(shards):
         if s in said:
@@ -182,7 +181,7 @@ def _ask_triples(shards: int):
         at = np.flatnonzero(_open_triples(g, pair))
         at = at[np.argsort(g.triple[at], kind="stable")]
         rows = [(s, chunk, b) for s, b in _blocks(g.triple[at] >> U64(64 - GRAM_BITS), GRAM_BITS, shards, (n[at], m[at])).items()]
-        return _table([*rows, (shards + chunk, chunk, pack(word, pair, sums))])
+        return _table([*rows, (shards + chunk, chunk, pack(pack_planes(word), pack_planes(pair), sums))])
 
     return run
 
@@ -290,12 +289,13 @@ def _score(shards: int):
     def run(t: pa.Table, answers: pa.Table) -> pa.Table:
         g, said = _Grams(t), _said(answers)
         word, pair, sums = unpack(said[shards + t.column("chunk")[0].as_py()])
+        word, pair = unpack_planes(word, np.int64), unpack_planes(pair, np.int64)
         own_triples, _ = g.counts(g.triple_of, len(g.triple), np.flatnonzero(g.inner))
         triple = own_triples.astype(np.int64)  # those not asked for come once
         at = np.flatnonzero(_open_triples(g, pair))
         at = at[np.argsort(g.triple[at], kind="stable")]
         for s, own in shares(g.triple[at] >> U64(64 - GRAM_BITS), shards, GRAM_BITS):
-            triple[at[own]] = unpack(said[s])[0].astype(np.int64) >> 1
+            triple[at[own]] = unpack_planes(unpack(said[s])[0], np.int64) >> 1
         word, pair = np.r_[word >> 1, 0], pair >> 1
         word[g.start] = word[g.end]  # a start is a history as often as training documents end
         n, v, n1, n2 = (int(x) for x in sums)
