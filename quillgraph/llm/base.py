@@ -177,11 +177,13 @@ def word_codes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     """Lower-cased words (runs without x20, x09-x0D) of texts: each as a number, the numbers' 64-bit hashes, and how many words a text has.
 
     Texts are lowered in A-Z only and split by Arrow, so Python meets each distinct word of the column once.
+    The words are lowered, not the texts: of an array whose first offset is not 0, as the cast of a
+    slice, Arrow's ascii_lower returns bytes that it has not written.
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column.cast(pa.large_string()), "")))
-    found = parts.flatten().dictionary_encode()
+    parts = pc.ascii_split_whitespace(pc.fill_null(column.cast(pa.large_string()), ""))
+    found = pc.ascii_lower(parts.flatten()).dictionary_encode()
     words = found.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
     codes, sizes = found.indices.to_numpy().astype(np.int64), np.diff(parts.offsets.to_numpy())
     if b"" in words:  # blanks at the ends of a text
