@@ -66,6 +66,22 @@ def range_bucket(docs: DataFrame, n: int, column: str = "doc_id") -> Column:
     return F.coalesce(F.when(F.col(column).isNotNull(), at(F.coalesce(F.col(column), F.lit(0)))), F.lit(0))
 
 
+def may_hold(rows: DataFrame, column: str, ids: DataFrame, most: int = 24) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two parts, without a shuffle: those whose ``column`` may be in the one column of ``ids``, and those where it is not.
+
+    A bitmap of hashes, some 16 bits an id and 2**most in all at most, is broadcast in words of 64
+    bits. Beyond that size more rows are in the first part by chance, but none is ever missing there.
+    """
+    ids = ids.toDF("id")
+    n = 1 << min(most, max(10, (16 * ids.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(n))
+    marks = ids.select(place(F.col("id")).alias("at")).selectExpr("shiftright(at, 6) AS word", "shiftleft(1L, cast(at & 63 AS int)) AS bit")
+    words = F.broadcast(marks.groupBy("word").agg(F.bit_or("bit").alias("bits")))
+    at = place(rows[column])
+    found = (F.shiftright(at, 6) == words["word"]) & (F.call_function("shiftright", words["bits"], at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
+    return rows.join(words, found, "left_semi"), rows.join(words, found, "left_anti")
+
+
 def crc_of_id(column: str = "doc_id") -> Column:
     """crc32 of the id's decimal text; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

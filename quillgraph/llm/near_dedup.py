@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import U64, cut, lean, lean_batches, mix64, sliced, word_codes
+from .base import U64, cut, lean, lean_batches, may_hold, mix64, sliced, word_codes
 from .components import components
 
 BINS = 128
@@ -284,7 +284,8 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
 
     sized = clusters.join(clusters.groupBy("component").agg(F.count("*").alias("c")), "component")
     groups = F.ceil(F.col("c") / F.lit(p.verify_tile)).cast("int")
-    wanted = docs.join(clusters.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").filter("doc_id IS NOT NULL").mapInArrow(lean_batches(_set_reader(p)), "id long, shingles binary").filter("length(shingles) > 0")
+    # A few sets more than those of the clusters; the joins below leave them out. The texts are not dealt.
+    wanted = cut(may_hold(docs.filter("doc_id IS NOT NULL"), "doc_id", clusters.select("id"))[0].mapInArrow(lean_batches(_set_reader(p)), "id long, shingles binary").filter("length(shingles) > 0"))
     # Large clusters: the least member goes to each group and is the one that asks there.
     leads = F.col("id") == F.col("component")
     own = F.when(leads, F.sequence(F.lit(0), groups - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), groups).cast("int")))
@@ -310,8 +311,9 @@ def one_of_each(docs: DataFrame, params: Params | None = None) -> DataFrame:
     total, different = docs.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
     held = docs.filter("doc_id IS NOT NULL")
     if total == different:
-        kept = near_duplicates(docs, params).filter("kept AND doc_id IS NOT NULL").select("doc_id")
-        out = docs.join(kept, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+        gone = cut(near_duplicates(docs, params).filter("NOT kept").select("doc_id"))
+        some, others = may_hold(held, "doc_id", gone)
+        out = others.union(some.join(gone, some["doc_id"] == gone["doc_id"], "left_anti"))
     else:
         texts = cut(held.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).distinct().orderBy("_id", "_text").withColumn("_node", F.monotonically_increasing_id()))
         kept = near_duplicates(texts.select(F.col("_node").alias("doc_id"), F.col("_text").alias("text")), params).filter("kept").select(F.col("doc_id").alias("_node"))

@@ -136,6 +136,18 @@ def test_near_duplicates_of_more_text_than_one_slice(spark):
     assert got == {i: (len(shingles(t, 3)), {60: 3, 61: 55, 64: 62}.get(i, i)) for i, t in enumerate(texts)}
 
 
+@pytest.mark.parametrize("most", [24, 10])
+def test_rows_that_may_be_among_ids(spark, most):
+    """Both parts together are the rows; none of the ids is in the second."""
+    rows = spark.range(-500, 9500).select(F.col("id").alias("doc_id"), F.lit(1).alias("word"), F.lit("x").alias("bits"))
+    ids = spark.range(0, 9000, 9)
+    some, others = near_dedup.may_hold(rows, "doc_id", ids, most)
+    a, b = ([r["doc_id"] for r in x.collect()] for x in (some, others))
+    assert sorted(a + b) == list(range(-500, 9500)) and set(range(0, 9000, 9)) <= set(a)
+    assert some.columns == rows.columns and (most < 24 or len(a) < 2000)
+    assert near_dedup.may_hold(rows, "doc_id", ids.limit(0))[1].count() == 10000
+
+
 def test_empty_tables(spark, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
     assert suffix_dedup.remove_repeats(empty).count() == 0
