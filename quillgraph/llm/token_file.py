@@ -164,7 +164,7 @@ def write_ids(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTE
     def run(batches):
         out = name = None
         first = None
-        for part, blobs in encoded(batches, lambda: library_encoder(path, pattern)):
+        for part, blobs in encoded(batches, lambda: library_encoder(path, pattern), 16 << 20):
             ids = part.column("doc_id").to_pylist()
             if out is None:
                 fs, where = pafs.FileSystem.from_uri(folder)

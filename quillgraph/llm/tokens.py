@@ -36,6 +36,10 @@ CACHE_UNITS = 1_000_000
 LONG_WORD = 64
 #: Two blanks side by side, of whatever kinds: a match may begin in one unit and end in the next.
 _RUN = re.compile(r"\s\s").search
+#: Every blank that re's \s has, for Arrow.
+_BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Units that end in a blank, or have one after a first newline: before another unit these would make runs.
+_BLANK_END = rf"\A\z|{_BLANK}\z|\A\n{_BLANK}"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -103,12 +107,13 @@ class Encoder:
     of ``special`` go to ``whole`` as they are. A unit is what follows a space, or a line break and
     what follows it; a batch's distinct units are found by Arrow and looked up once. A unit cache
     that is half full becomes the old one, whose entries are taken over as they are met again, so
-    memory is bounded and frequent units stay.
+    memory is bounded and frequent units stay. With ``run`` a batch's distinct units are encoded
+    together instead, and only units that it does not suit are cached.
     """
 
-    def __init__(self, pattern: str, pieces: Callable[[list[str]], Iterable[bytes]], whole: Callable[[str], bytes] | None = None, special: tuple[str, ...] = ()):
+    def __init__(self, pattern: str, pieces: Callable[[list[str]], Iterable[bytes]], whole: Callable[[str], bytes] | None = None, special: tuple[str, ...] = (), run: Callable | None = None):
         self.split = regex.compile(pattern).findall
-        self.pieces, self.whole, self.special = pieces, whole, special
+        self.pieces, self.whole, self.special, self.run = pieces, whole, special, run
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.odd: dict[str, bytes] = {}  # matches that are no words after a space
@@ -155,6 +160,29 @@ class Encoder:
             got[i] = known[units[i]]
         return got
 
+    def _pool(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct units, one after another, and how many each has."""
+        own = units.to_numpy(zero_copy_only=False).tolist()
+        if self.run is not None:
+            odd = pc.match_substring_regex(units, _BLANK_END).to_numpy(zero_copy_only=False)
+            tame = [u for u, o in zip(own, odd.tolist(), strict=True) if not o] if odd.any() else own
+            long = (pc.binary_length(units).to_numpy() + ~pc.starts_with(units, "\n").to_numpy(zero_copy_only=False))[~odd]
+            if (found := self.run(tame, long)) is not None:
+                rest = self._ids([u for u, o in zip(own, odd.tolist(), strict=True) if o])
+                size = np.empty(len(own), np.int64)
+                size[~odd], size[odd] = found[1], [len(x) // 4 for x in rest]
+                # The ids of tame units come first, then those of the others.
+                pool = np.concatenate([found[0], np.frombuffer(b"".join(rest), np.int32)])
+                if not odd.any():
+                    return pool, size
+                order = np.argsort(odd, kind="stable")
+                begin = np.empty(len(own), np.int64)
+                begin[order] = np.cumsum(size[order]) - size[order]
+                end = np.cumsum(size)
+                return pool[np.repeat(begin - end + size, size) + np.arange(end[-1])], size
+        ids = self._ids(own)
+        return np.frombuffer(b"".join(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+
     def batch(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_UNITS // 2:
             self.old, self.known = self.known, {}
@@ -179,10 +207,8 @@ class Encoder:
         # Every text begins with a line break of its own, whose ids are left out again.
         marked = ["\n" + texts[i].replace("\n", " \n") for i in plain]
         units = pc.split_pattern(pa.array([" ".join(marked)], pa.large_string()), " ").values.dictionary_encode()
-        ids = self._ids(units.dictionary.to_numpy(zero_copy_only=False).tolist())
+        pool, size = self._pool(units.dictionary)
         at = units.indices.to_numpy()
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        pool = np.frombuffer(b"".join(ids), np.int32)
         start = np.cumsum(size) - size
         long = size[at]
         end = np.cumsum(long)
@@ -247,6 +273,26 @@ def _pieces(ids_of: Callable[[str], np.ndarray], each: Callable[[list[str]], Ite
     return pieces
 
 
+def _runs(ids_of: Callable[[str], np.ndarray], size: np.ndarray, special: tuple[str, ...]) -> Callable[[list[str], np.ndarray], tuple[np.ndarray, np.ndarray] | None]:
+    """Ids of units in texts of 1000 units, as a document holds them; the ids' byte lengths tell where a unit ends. None where they do not."""
+
+    def run(units: list[str], long: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        got = [np.zeros(0, np.int32)]
+        for a in range(0, len(units), 1000):
+            text = (" " + " ".join(units[a : a + 1000])).replace(" \n", "\n")
+            if any(k in text for k in special):
+                return None
+            got.append(ids_of(text))
+        ids, ends = np.concatenate(got), np.cumsum(long)
+        upto = np.cumsum(size[ids])
+        last = np.searchsorted(upto, ends)
+        if len(ends) and (last[-1] != len(ids) - 1 or (upto[last] != ends).any()):
+            return None
+        return ids, np.diff(last, prepend=-1)
+
+    return run
+
+
 @_once
 def library_encoder(path: str, pattern: str) -> Encoder:
     """The tokenizers library on a byte-level tokenizer file, without special tokens added.
@@ -261,7 +307,8 @@ def library_encoder(path: str, pattern: str) -> Encoder:
     many = lambda texts: t.encode_batch_fast(texts, add_special_tokens=False)
     pieces = _pieces(lambda x: np.array(many([x])[0].ids, np.int32), lambda rest: [_bytes(e.ids) for e in many(rest)], size)
     special = tuple(x.content for x in t.get_added_tokens_decoder().values())
-    return Encoder(pattern, pieces, lambda x: _bytes(t.encode(x, add_special_tokens=False).ids), special)
+    run = _runs(lambda x: np.array(many([x])[0].ids, np.int32), size, special)
+    return Encoder(pattern, pieces, lambda x: _bytes(t.encode(x, add_special_tokens=False).ids), special, run)
 
 
 @_once

@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import tiktoken
 import xxhash
@@ -263,6 +264,21 @@ def test_encoders_are_the_libraries_on_random_texts():
         assert ids(make(ranks, public_tokenizers.PATTERN)) == alike(ranks).encode_ordinary_batch(texts)
 
 
+def test_units_are_encoded_together_as_the_library_does():
+    """Blanks of all kinds at the ends of units; no unit is left to the cache but those that end in one."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), tokens.library_encoder(path, public_tokenizers.PATTERN)
+    assert {c for c in map(chr, range(0x110000)) if re.match(r"\s", c)} == {c for c in map(chr, range(0x3100)) if pc.match_substring_regex(pa.array([c]), tokens._BLANK)[0].as_py()}
+    rng = random.Random(2)
+    some = ["a", "B", "é", "日", " ", " ", "\n", "\t", "\x0b", "\x1c", "\x85", "\u2003", "'s", "1", "²", ".", "!?", "ab cd", "don't", "\u200b", "<|endoftext|>", "Ⅷ", "\u0301", "😀", "\u3000", "yz ", "q\n"]
+    for _ in range(30):
+        texts = ["".join(rng.choices(some, k=rng.randrange(30))) for _ in range(60)]
+        assert own.batch(texts) == [np.array(e.ids, "<i4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    own.known.clear()
+    own.batch(["plain words, that no cache holds\nnow "])
+    assert set(own.known) <= {"", "\n"}
+
+
 def test_encoders_forget_units_without_changing_ids(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_UNITS", 40)
     e = alike = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tokens.read_ranks(MULTI), special_tokens={})
