@@ -66,7 +66,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, ids, n_tokens, n_bytes``: ids of whole texts and the length they decode to."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    out = tokens.decode(tokens.encode(docs, path), path)
+    out = tokens.encode_and_decode(docs, path)
     return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.octet_length("decoded").cast("long").alias("n_bytes"))
 
 

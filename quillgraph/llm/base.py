@@ -42,6 +42,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_small(df: DataFrame) -> DataFrame:
+    """``cut`` of a few numbers a row, dealt to an eighth of the shuffle partitions, four at least, before they are written.
+
+    Where AQE does not put small partitions together, each is a file of its own. In a local folder
+    without Hadoop's native library an executor starts a child process to set the rights of each file
+    and of its checksum, and until that child runs its own program the executor's memory counts twice.
+    """
+    return cut(df.repartition(max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)))
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a text column, one pass over that column."""
     return int(docs.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut
+from .base import cut_small
 
 
 def _star(e: DataFrame, large: bool) -> DataFrame:
@@ -20,8 +20,11 @@ def _star(e: DataFrame, large: bool) -> DataFrame:
     return out.filter("u > v").distinct()
 
 
-def _mark(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _settled(e: DataFrame) -> bool:
+    """Whether every node is either a centre or on one edge to a centre: no pass changes such edges, and any others it does."""
+    ends = e.select(F.col("u").alias("id"), F.lit(1).alias("up")).union(e.select(F.col("v").alias("id"), F.lit(0).alias("up")))
+    nodes = ends.groupBy("id").agg(F.sum("up").alias("up"), F.min("up").alias("least"))
+    return not nodes.agg(F.max((F.col("up") > 1) | (F.col("up") > F.col("least")))).first()[0]
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
@@ -32,15 +35,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
     Empty edges give an empty result; nulls and self-loops are ignored.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull()).filter("u > v").distinct()
-    e = cut(e)
-    mark = _mark(e)
-    if not mark[0]:
-        return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    e = cut_small(e)
     for _ in range(most):
-        e = cut(_star(_star(e, True), False))
-        mark, was = _mark(e), mark
-        if mark == was:
+        if _settled(e):
             break
+        e = cut_small(_star(_star(e, True), False))
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import U64, cut, lean, lean_batches, may_hold, mix64, sliced, word_codes
+from .base import U64, cut, cut_small, lean, lean_batches, may_hold, mix64, sliced, word_codes
 from .components import components
 
 BINS = 128
@@ -272,10 +272,10 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     rows = reps.select("id", F.explode(keys).alias("key"))
     buckets = rows.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("m")).filter("c > 1")
     buckets = buckets.groupBy("c", "x", "m").agg(F.min("key").alias("key")).select("key", "c", F.col("m").alias("a"))
-    members = cut(rows.join(buckets, "key"))
+    members = cut_small(rows.join(buckets, "key"))
     sketches = reps.select("id", "n", "sketch")
     led = members.filter("a < id").select("a", "id").distinct().join(sketches.select("id", "sketch"), "id").join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a")
-    led = cut(led.select("a", "id", "sketch_a", "sketch").mapInArrow(_leader_estimates(p), "a long, b long"))
+    led = cut_small(led.select("a", "id", "sketch_a", "sketch").mapInArrow(_leader_estimates(p), "a long, b long"))
     labels = led.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label"))
     labelled = members.filter("c > 2").select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     tiles = _tiles(labelled, "key", p.tile).join(sketches, "id").select("key", "t1", "t2", "asks", "told", "label", "n", "sketch")
@@ -290,7 +290,7 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     leads = F.col("id") == F.col("component")
     own = F.when(leads, F.sequence(F.lit(0), groups - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), groups).cast("int")))
     led = sized.filter(F.col("c") > p.verify_tile).select("id", "component", F.col("id").alias("label"), leads.alias("asks"), (~leads).alias("told"), F.explode(own).alias("t1"))
-    led = cut(led.join(wanted, "id").groupBy("component", "t1").applyInArrow(lean(_tile_links(p)), "a long, b long"))
+    led = cut_small(led.join(wanted, "id").groupBy("component", "t1").applyInArrow(lean(_tile_links(p)), "a long, b long"))
     rest = clusters.join(led.select(F.col("b").alias("id"), F.col("a").alias("label")), "id", "left").select("component", "id", F.coalesce("label", "id").alias("label"))
     links = _tiles(rest, "component", p.verify_tile).join(wanted, "id").groupBy("component", "t1", "t2").applyInArrow(lean(_tile_links(p)), "a long, b long")
     final = components(led.union(links).union(tied))
@@ -311,7 +311,7 @@ def one_of_each(docs: DataFrame, params: Params | None = None) -> DataFrame:
     total, different = docs.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
     held = docs.filter("doc_id IS NOT NULL")
     if total == different:
-        gone = cut(near_duplicates(docs, params).filter("NOT kept").select("doc_id"))
+        gone = cut_small(near_duplicates(docs, params).filter("NOT kept").select("doc_id"))
         some, others = may_hold(held, "doc_id", gone)
         out = others.union(some.join(gone, some["doc_id"] == gone["doc_id"], "left_anti"))
     else:

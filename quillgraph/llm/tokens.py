@@ -335,6 +335,27 @@ def _list(blobs: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.frombuffer(b"".join(blobs), np.int32)))
 
 
+def _encode(path: str, pattern: str):
+    def run(batches):
+        for part, blobs in encoded(batches, lambda: fold_encoder(path, pattern)):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), _list(blobs)], ["doc_id", "ids"])
+
+    return run
+
+
+def _decode(path: str):
+    def run(batches):
+        ranks = read_ranks(path)
+        piece = [b""] * (max(ranks.values()) + 1)
+        for k, v in ranks.items():
+            piece[v] = k
+        for t in batches:
+            got = [b"".join([piece[i] for i in row or ()]) for row in _rows_of(t.column("ids"))]
+            yield pa.RecordBatch.from_arrays([t.column("doc_id"), t.column("ids"), pa.array(got, pa.binary())], ["doc_id", "ids", "decoded"])
+
+    return run
+
+
 # ---------------------------------------------------------------- operators
 
 
@@ -344,27 +365,22 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN)
     One pass without a shuffle; a task holds a few hundred texts and the bounded unit cache.
     Rows keep their number and order; further columns are ignored.
     """
-
-    def run(batches):
-        for part, blobs in encoded(batches, lambda: fold_encoder(path, pattern)):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), _list(blobs)], ["doc_id", "ids"])
-
-    return docs.select("doc_id", "text").mapInArrow(lean_batches(run), "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(lean_batches(_encode(path, pattern)), "doc_id long, ids array<int>")
 
 
 def decode(ids: DataFrame, path: str) -> DataFrame:
     """Adds ``decoded``: the pieces of the ids, concatenated. Null ids decode to no bytes."""
+    return ids.select("doc_id", "ids").mapInArrow(lean_batches(_decode(path)), "doc_id long, ids array<int>, decoded binary")
+
+
+def encode_and_decode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """``decode(encode(docs))`` with one Python worker for a task instead of two, which its executor would keep."""
+    there, back = _encode(path, pattern), _decode(path)
 
     def run(batches):
-        ranks = read_ranks(path)
-        piece = [b""] * (max(ranks.values()) + 1)
-        for k, v in ranks.items():
-            piece[v] = k
-        for t in batches:
-            got = [b"".join([piece[i] for i in row or ()]) for row in _rows_of(t.column("ids"))]
-            yield pa.RecordBatch.from_arrays([t.column("doc_id"), t.column("ids"), pa.array(got, pa.binary())], ["doc_id", "ids", "decoded"])
+        yield from back(there(batches))
 
-    return ids.select("doc_id", "ids").mapInArrow(lean_batches(run), "doc_id long, ids array<int>, decoded binary")
+    return docs.select("doc_id", "text").mapInArrow(lean_batches(run), "doc_id long, ids array<int>, decoded binary")
 
 
 def _rows_of(col: pa.ListArray) -> Iterator[list[int]]:

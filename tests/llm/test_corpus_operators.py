@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -169,6 +170,26 @@ def test_components_of_paths_and_stars(spark):
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}, 500: 400, 400: 400}
 
 
+def test_components_write_few_files_and_no_round_for_stars(spark):
+    """Each file costs an executor two child processes; edges that are stars already are written once."""
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir
+    files = lambda: {f for f in Path(folder().get().removeprefix("file:")).rglob("part-*")} if folder().isDefined() else set()
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        stars = [(100, i) for i in range(101, 130)] + [(3, 2), (9, 2)]
+        for edges, rounds, want in ((stars, 0, {**{i: 100 for i in range(100, 130)}, 2: 2, 3: 2, 9: 2}), ([(1, 5), (5, 7), (3, 7)], 3, {1: 1, 3: 1, 5: 1, 7: 1})):
+            before = files()
+            got = components(spark.createDataFrame(edges, "a long, b long"))
+            assert 0 < len(files() - before) <= 8 * (1 + rounds)
+            assert dict(rows_of(got, "id", "component")) == want
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
 # ---------------------------------------------------------------- repeated strings
 
 
@@ -234,6 +255,14 @@ def test_encoding_is_that_of_the_library_and_round_trips(odd, docs):
         assert Counter((i, tuple(x), bytes(b)) for i, x, b in got) == Counter((i, tuple(e.encode_ordinary(t)), t.encode()) for i, t in want)
 
 
+def test_round_trip_of_the_pipeline_takes_one_worker_a_task(spark, odd, docs, small):
+    for df in (odd, docs):
+        got, want = (Counter((i, tuple(x), bytes(b)) for i, x, b in rows_of(d, "doc_id", "ids", "decoded")) for d in (tokens.encode_and_decode(df, MULTI), tokens.decode(tokens.encode(df, MULTI), MULTI)))
+        assert got == want
+    plan = pytest.importorskip("corpus_pipeline").encode(spark, docs, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_fold_of_long_words_and_the_native_fold(spark):
     ranks = tokens.read_ranks(MULTI)
     e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
