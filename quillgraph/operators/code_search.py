@@ -69,6 +69,12 @@ def source_lines(files: DataFrame, file: str, path: str = "path", text: str = "t
     return files.filter(F.col(path) == file).select(F.posexplode(F.split(body, "\r?\n")).alias("at", "body")).select((F.col("at") + 1).cast("int").alias("line"), "body")
 
 
+def line_range(files: DataFrame, file: str, start: int, end: int, path: str = "path", text: str = "text") -> DataFrame:
+    """``(line, body)`` of those lines from ``start`` to ``end`` that the file has, parted by line feeds alone; unlike a window, the range is not moved into the file."""
+    lines = files.filter(F.col(path) == file).select(F.posexplode(F.split(text, "\n")).alias("at", "body")).select((F.col("at") + 1).cast("int").alias("line"), "body")
+    return lines.filter(F.col("line").between(start, end)).orderBy("line")
+
+
 def source_window(files: DataFrame, file: str, **bounds) -> tuple[DataFrame, Window]:
     lines = source_lines(files, file)
     w = window_bounds(lines.count(), **bounds)
