@@ -2,9 +2,11 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quillgraph.plans import extraction_queries, queries  # noqa: F401
 from quillgraph.plans.registry import ORACLE, QUERIES
+from quillgraph.sources import extract
 
 
 @pytest.mark.parametrize("text", ["one line", "", None, "a\nb\n", "a\r\nb\r\n\r\nc", "\n\n\n\n\n\n\n\n", "1\n2\n3\n4\n5\n6\n7"])
@@ -15,3 +17,14 @@ def test_source_window_of_short_and_odd_texts(spark, tmp_path, text):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert got == sorted(con.execute(ORACLE["c04_source_window"]).fetchall())
+
+
+def test_files_are_dealt_before_they_are_read(spark):
+    """A small table of keys in one partition is read by many tasks, and one analyzer's facts are those of all drafts."""
+    keys = spark.range(300).coalesce(1)
+    files = keys.select(F.concat(F.lit("db/p"), F.col("id").cast("string"), F.lit(".sql")).alias("path"), F.concat(F.lit("CREATE TABLE t_"), F.col("id").cast("string"), F.lit(" (a int);\nSELECT 1 FROM u")).alias("text"))
+    d = extract.drafts(files, "sql", ("kind", "analyzer", "relationship", "file", "line", "matched"))
+    tasks = d.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count_distinct("file").alias("n")).collect()
+    assert len(tasks) > 4 and max(r["n"] for r in tasks) < 150
+    rows = lambda x: sorted(map(tuple, x.select("kind", "relationship", "file", "line", "matched").collect()), key=repr)
+    assert rows(d) == rows(extract.drafts(files).filter("analyzer = 'sql'"))
