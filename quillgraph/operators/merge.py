@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.graph import Graph
 from ..vocab import CONFIDENCE_RANK
+from .traverse import meeting
 
 EVIDENCE = ("source", "confidence", "method", "file", "line", "matched")
 
@@ -74,7 +75,9 @@ def derive_container_edges(edges: DataFrame, holders: DataFrame, extra: str = "d
     """
     lifted = edges.join(holders.withColumnRenamed("id", "source_node"), "source_node").filter(F.col("holder") != F.col("target_node")).drop("source_node").withColumnRenamed("holder", "source_node")
     lifted = lifted.groupBy("source_node", "relationship", "target_node").agg(F.sum("occurrences").alias("occurrences"))
-    have = edges.select("source_node", "relationship", "target_node")
+    # Only an edge of a holder can be one that is lifted; where holders hold none, nothing of the edges is left to compare.
+    own = holders.select(F.col("holder").alias("source_node")).distinct()
+    have = meeting(edges.select("source_node", "relationship", "target_node"), "source_node", own, own.count())
     return lifted.join(have, ["source_node", "relationship", "target_node"], "left_anti").withColumn("extra", F.lit(extra))
 
 
