@@ -38,25 +38,27 @@ def _rank(c: Column) -> Column:
     return F.coalesce(*[F.when(c == k, F.lit(v)) for k, v in CONFIDENCE_RANK.items()], F.lit(-1))
 
 
-def merge_edges(drafts: DataFrame) -> DataFrame:
+def merge_edges(drafts: DataFrame, key: tuple[str, ...] = ("id",)) -> DataFrame:
     """One edge per id: occurrences add up, the first writer's ``extra`` stays, evidence is the strongest's.
 
     Evidence is replaced only by strictly higher confidence; a field that the stronger evidence lacks
     keeps the value before it. So each field is that of the strongest, else of the next draft down
     among those that raised the confidence, else of the first. Columns: id, source_node, relationship,
-    target_node, seq, occurrences, extra, and the evidence fields.
+    target_node, seq, occurrences, extra, and the evidence fields. ``key`` names columns that stand for
+    the id, where drafts already lie by them; drafts are dealt by it once, and all grouping is where they lie.
     """
-    rank = _rank(F.col("confidence"))
-    d = drafts.withColumn("_rank", rank)
-    # The first draft of each rank; among them, those that raise the running maximum in emission order.
-    firsts = d.groupBy("id", "_rank").agg(F.min_by(F.struct("seq", *EVIDENCE), "seq").alias("e"))
-    held = F.array_sort(F.collect_list(F.struct(F.col("e.seq").alias("seq"), F.col("_rank").alias("rank"), F.struct(*[F.col(f"e.{f}").alias(f) for f in EVIDENCE]).alias("e"))))
-    chain = firsts.groupBy("id").agg(held.alias("h"))  # at most one entry per confidence level
+    d = drafts.withColumn("_rank", _rank(F.col("confidence")))
+    if key == ("id",):
+        d = d.repartition("id")
+    # The first draft of each rank, with the first writer's part and the sum, which hold for the whole id once they meet.
+    firsts = d.groupBy(*key, "_rank").agg(F.min_by(F.struct("seq", *EVIDENCE, "id", "source_node", "relationship", "target_node", "extra"), "seq").alias("e"), F.sum("occurrences").alias("o"))
+    held = F.array_sort(F.collect_list(F.struct(F.col("e.seq").alias("seq"), F.col("_rank").alias("rank"), F.col("o"), F.col("e").alias("e"))))
+    chain = firsts.groupBy(*key).agg(held.alias("h"))  # at most one entry per confidence level
     raised = F.filter("h", lambda x, i: ~F.exists(F.slice("h", 1, i), lambda y: y["rank"] >= x["rank"]))
-    chain = chain.withColumn("r", F.reverse(raised))
+    chain = chain.withColumn("r", F.reverse(raised)).withColumn("w", F.col("h")[0]["e"])
     fields = [F.get(F.filter(F.col(f"r.e.{f}"), lambda v: v.isNotNull()), F.lit(0)).alias(f) for f in EVIDENCE]
-    base = d.groupBy("id").agg(F.sum("occurrences").alias("occurrences"), F.min_by(F.struct("source_node", "relationship", "target_node", "extra"), "seq").alias("w"), F.min("seq").alias("seq"))
-    return base.join(chain.select("id", *fields), "id").select("id", "w.source_node", "w.relationship", "w.target_node", "occurrences", *EVIDENCE, "w.extra", "seq")
+    total = F.aggregate("h", F.lit(None).cast(firsts.schema["o"].dataType), lambda acc, x: F.coalesce(acc + x["o"], acc, x["o"])).alias("occurrences")
+    return chain.select("w.id", "w.source_node", "w.relationship", "w.target_node", total, *fields, "w.extra", "w.seq").filter("id IS NOT NULL")
 
 
 def valid_endpoints(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:

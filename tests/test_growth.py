@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.operators import analytics, traverse
+from quillgraph.operators import analytics, merge, traverse
 from quillgraph.plans import extraction_queries, queries  # noqa: F401
 from quillgraph.plans.graph import Graph
 from quillgraph.plans.registry import ORACLE, QUERIES
@@ -108,3 +108,28 @@ def test_paths_with_small_and_large_frontiers_and_budgets(spark, monkeypatch):
         p = traverse.find_path(g, a, b, 6, directed, budget=budget)
         assert (p.nodes or None, p.found) == (want, want is not None) and (p.found or p.truncated == cut)
         assert len(p.edges) == max(0, len(p.nodes) - 1) and all({x, y} == set(i.split("|")[::2]) for x, y, i in zip(p.nodes, p.nodes[1:], p.edges, strict=False))
+
+
+def test_merging_deals_drafts_once(spark, small):
+    """One shuffle of the drafts, whatever their number; before, three."""
+    plan = QUERIES["m03_merge_edges"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_merging_random_drafts(spark):
+    """Sums, first writers and evidence against the rule read line by line."""
+    r = random.Random(5)
+    rank = {"low": 0, "medium": 1, "high": 2, "odd": -1}
+    rows = [(f"e{r.randrange(30)}" if r.random() > 0.02 else None, k, r.choice(list(rank)), r.choice([None, "m", "n"]), r.choice([None, 1, 2]), r.choice(["x", "y"]), r.choice([1, 2, None])) for k in range(400)]
+    schema = "id string, seq int, confidence string, method string, line int, extra string, occurrences int"
+    d = spark.createDataFrame(rows, schema).select("*", F.lit("s").alias("source_node"), F.lit("R").alias("relationship"), F.lit("t").alias("target_node"), F.lit("z").alias("source"), F.lit("f").alias("file"), F.lit(None).cast("string").alias("matched"))
+    want = {}
+    for i, k, c, m, n, x, o in rows:
+        if i is None:
+            continue
+        e = want.setdefault(i, {"best": -9, "extra": x, "seq": k, "o": None, "method": None, "line": None})
+        e["o"] = e["o"] if o is None else (e["o"] or 0) + o
+        if rank[c] > e["best"]:
+            e |= {"best": rank[c], "confidence": c, "method": m or e["method"], "line": n or e["line"]}
+    got = {r["id"]: (r["occurrences"], r["confidence"], r["method"], r["line"], r["extra"], r["seq"]) for r in merge.merge_edges(d).collect()}
+    assert got == {i: (e["o"], e["confidence"], e["method"], e["line"], e["extra"], e["seq"]) for i, e in want.items()}
